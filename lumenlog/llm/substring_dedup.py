@@ -9,9 +9,10 @@ starts elsewhere are removed. The steps:
    that occurs once can't start a repeat; its suffixes go no further.
 2. *Whole contexts.* Rows with the same prefix and context repeat as they are: all their windows go.
 3. *Subtrees.* What is left are prefixes with different contexts, one row per context. Their window
-   starts become suffixes of `width` words, split by prefixes of 12, 20 or all words, as long as it
-   takes for a group to fit a task. Within a task the sorted suffixes with their common prefix
-   lengths are the subtree; leaves under an internal node at depth `width` repeat.
+   starts become suffixes, each written as the labels of its path down the tree: hashes of its words
+   up to depths 12, 20 and `width`. Groups of suffixes share a prefix of 12, 20 or all words, as long
+   as it takes to fit a task. Within a task the sorted paths and the depths that neighbours share are
+   the subtree; leaves under an internal node at depth `width` repeat.
 
 Nulls, empty and short texts have no window and keep all their words. Repeated rows are separate
 occurrences. Other columns are ignored. Word and window identity is by 64- and 128-bit hashes.
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import Words, _powers, _WBASE, filled, hot_keys, load, mix, slices, stage
 
 WIDTH, PREFIX = 35, 10
-#: Prefix lengths by which suffixes are split, and the suffixes that a task's share should not exceed.
-LENGTHS, GROUP = (12, 20), 50_000
+#: Depths at which paths have labels besides the last, and the suffixes that a task's share should not exceed.
+DEPTHS, GROUP = (12, 20), 250_000
 
 
 def runs(w: Words, width: int, k: int) -> tuple[np.ndarray, ...]:
@@ -74,56 +75,43 @@ def _anchors(width: int, k: int):
 
 
 def _suffixes(width: int):
-    """Suffixes of the listed runs: hashes of their prefixes, their words, and where they start."""
+    """Suffixes at the window starts of the listed runs: the labels of their paths, and where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in slices(b, "text"):
                 w = Words(filled(x.column("text")))
-                texts, starts = [], []
-                for i, rows in enumerate(x.column("runs").to_pylist()):
-                    for r in rows:
-                        starts.append(np.arange(r["lo"], r["lo"] + r["more"] + 1))
-                        texts.append(np.full(r["more"] + 1, i))
-                t, s = np.concatenate(texts), np.concatenate(starts)
-                for at in range(0, len(t), 20_000):
-                    ti, si = t[at : at + 20_000], s[at : at + 20_000]
-                    pos = si + w.first[ti]
-                    words = w.hash[pos[:, None] + np.arange(width)]
-                    keys = [pa.array(w.grams(min(n, width))[pos].view(np.int64)) for n in (*LENGTHS, width)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([r.tobytes() for r in words], pa.binary()), x.column("doc_id").take(pa.array(ti)), pa.array(si.astype(np.int32))], ["p0", "p1", "p2", "words", "doc_id", "start"])
+                rows = [(i, r["lo"], r["more"] + 1) for i, held in enumerate(x.column("runs").to_pylist()) for r in held]
+                i, lo, n = np.array(rows, np.int64).reshape(-1, 3).T
+                text = np.repeat(i, n)
+                start = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                pos = start + w.first[text]
+                paths = [w.grams(d)[pos] for d in (*DEPTHS, width)]
+                paths.append(w.grams(width, 9)[pos])  # depth `width` has 128 bits
+                yield pa.RecordBatch.from_arrays([*(pa.array(p.view(np.int64)) for p in paths), x.column("doc_id").take(pa.array(text)), pa.array(start.astype(np.int32))], ["p0", "p1", "p2", "p3", "doc_id", "start"])
 
     return run
 
 
-def _subtrees(width: int):
-    """Leaves under internal nodes at depth width, for the suffixes of a task's groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        if not t.num_rows:
-            return
-        raw = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64).reshape(-1, width)
-        order = np.lexsort(raw.T[::-1])
-        same = raw[order[1:]] == raw[order[:-1]]
-        common = np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1)  # common prefix of neighbours: the depth of the node above both
-        deep = common >= width
-        leaf = np.zeros(len(order), bool)
-        leaf[1:] |= deep
-        leaf[:-1] |= deep
-        got = t.select(["doc_id", "start"]).take(pa.array(order[leaf]))
-        yield from got.combine_chunks().to_batches()
-
-    return run
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves under internal nodes at full depth, for the suffixes of a task's groups."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())]))
+    if t.num_rows < 2:
+        return
+    path = np.stack([t.column(c).to_numpy() for c in ("p0", "p1", "p2", "p3")])
+    order = np.lexsort(path[::-1])
+    path = path[:, order]
+    common = np.cumprod(path[:, 1:] == path[:, :-1], axis=0, dtype=np.int8).sum(axis=0)  # levels that neighbours share: the depth of the node above both
+    leaf = np.zeros(len(order), bool)
+    leaf[1:] |= common == 4
+    leaf[:-1] |= common == 4
+    yield from t.select(["doc_id", "start"]).take(pa.array(order[leaf])).combine_chunks().to_batches()
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, k: int = PREFIX) -> DataFrame:
     """Ranges of words (doc_id, lo, hi) of docs (doc_id, text) whose windows occur elsewhere as well."""
     spark = docs.sparkSession
-    anchors = stage(docs.select("doc_id", "text").mapInArrow(_anchors(width, k), "prefix long, context long, doc_id long, lo int, more short"), "anchors")
+    anchors = docs.select("doc_id", "text").mapInArrow(_anchors(width, k), "prefix long, context long, doc_id long, lo int, more short")  # cheaper to make twice than to keep
     hot = hot_keys(anchors, "prefix", 50_000)
     few = ~F.col("prefix").isin(hot) if hot else F.lit(True)
     by, ctx = Window.partitionBy("prefix"), Window.partitionBy("prefix", "context")
@@ -145,16 +133,16 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = PREFIX) -> DataFrame:
     seen = stage(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "runs")
     whole = seen.where("n > 1").select("doc_id", "lo", (F.col("lo") + F.col("more") + width).cast("int").alias("hi"))
     per_doc = seen.where("mixed and nth = 1").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "more")).alias("runs"))
-    suffixes = stage(docs.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(_suffixes(width), "p0 long, p1 long, p2 long, words binary, doc_id long, start int"), "suffixes")
+    suffixes = stage(docs.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(_suffixes(width), "p0 long, p1 long, p2 long, p3 long, doc_id long, start int"), "suffixes")
     total = suffixes.count()
-    long0 = hot_keys(suffixes, "p0", GROUP // 4)
-    long1 = hot_keys(suffixes.where(F.col("p0").isin(long0)), "p1", GROUP // 4) if long0 else []
-    same = hot_keys(suffixes.where(F.col("p1").isin(long1)), "p2", GROUP // 4) if long1 else []
+    long0 = hot_keys(suffixes, "p0", GROUP)
+    long1 = hot_keys(suffixes.where(F.col("p0").isin(long0)), "p1", GROUP) if long0 else []
+    same = hot_keys(suffixes.where(F.col("p1").isin(long1)), "p2", GROUP) if long1 else []
     key = F.col("p0")
     if long0:
         key = F.when(~F.col("p0").isin(long0), F.col("p0")).otherwise(F.when(~F.col("p1").isin(long1), F.col("p1")).otherwise(F.col("p2")) if long1 else F.col("p1"))
     tree = suffixes.where(~F.col("p2").isin(same)) if same else suffixes
-    leaves = tree.repartition(max(1, total // GROUP + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), key).select("words", "doc_id", "start").mapInArrow(_subtrees(width), "doc_id long, start int")
+    leaves = tree.repartition(max(1, total // GROUP + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), key).mapInArrow(_subtrees, "doc_id long, start int")
     if same:  # suffixes equal over all words, thousands of times: their node is as deep as asked for
         leaves = leaves.union(suffixes.where(F.col("p2").isin(same)).select("doc_id", "start"))
     return whole.union(leaves.select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi")))
