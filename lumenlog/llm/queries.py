@@ -7,6 +7,14 @@ from importlib import import_module
 #: Query name: its module in this subpackage, and the function in it.
 NAMES = {
     "op1_substring_dedup": ("substring_dedup", "op1"),
+    "op2_pii": ("pii", "op2"),
+    "op3_exact_dedup": ("exact_dedup", "op3"),
+    "op4_jaccard_join": ("jaccard_join", "op4"),
+    "op5_packing": ("packing", "op5"),
+    "op6_toxicity": ("toxicity", "op6"),
+    "op8_language_id": ("language_id", "op8"),
+    "op9_quality": ("quality", "op9"),
+    "op10_warc": ("warc", "op10"),
 }
 
 
