@@ -12,6 +12,7 @@ NAMES = {
     "op4_jaccard_join": ("jaccard_join", "op4"),
     "op5_packing": ("packing", "op5"),
     "op6_toxicity": ("toxicity", "op6"),
+    "op7_decontamination": ("decontamination", "op7"),
     "op8_language_id": ("language_id", "op8"),
     "op9_quality": ("quality", "op9"),
     "op10_warc": ("warc", "op10"),
