@@ -22,9 +22,16 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from lumenlog.plans import logs, retrieval  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
