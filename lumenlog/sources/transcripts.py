@@ -95,7 +95,7 @@ def typed_log(rows: DataFrame) -> DataFrame:
 
 def compaction(rows: DataFrame) -> DataFrame:
     """Boundary, summary and compacted markers."""
-    v = rows.where(F.col("value").contains("compact")).withColumn("v", F.try_parse_json("value"))
+    v = rows.where(F.col("value").rlike("(?i)compact")).withColumn("v", F.try_parse_json("value"))
     r = F.col("v")
     kind = F.when((_get(r, "$.type") == "system") & (_get(r, "$.subtype") == "compact_boundary"), "boundary").when(_get(r, "$.isCompactSummary", "boolean"), "summary").when(_get(r, "$.type") == "compacted", "compacted")
     return v.select("file", "line_no", kind.alias("marker")).where("marker is not null")
