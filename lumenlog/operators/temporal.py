@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,56 +100,68 @@ def turn_identity(candidates: DataFrame, held: DataFrame) -> DataFrame:
 RUN_IDLE = 3 * 3600 * 1_000_000
 
 
-def auto_runs(rows: DataFrame, by: str = "session_id", idle: int = RUN_IDLE) -> DataFrame:
-    """Rows (by, micros, at, command, image) that a program submitted: within a run that its start row opens.
+def fold(rows: DataFrame, by: str, order: list[str], new: Callable[[], list], step: Callable[[list, dict], tuple], schema: str) -> DataFrame:
+    """Rows of each key in order through a step with the key's state, for decisions that depend on earlier decisions.
 
-    Whether a run is still on depends on what was decided before, so each session is folded in order.
-    A session is the unit of state, here as in the stream; its rows are those of one person's log.
+    Partitions are sorted by Spark, which spills, and read batch by batch: a task holds one batch and
+    one key's state, however many rows the key has.
     """
 
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["micros", "at"])
-        out, last = [], None
-        for micros, command, image in zip(x["micros"].tolist(), x["command"].tolist(), x["image"].tolist(), strict=True):
-            if command == "/auto":
-                last = micros
-                out.append(False)
-            elif last is None:
-                out.append(False)
-            elif micros - last >= idle and not command:
-                last = None
-                out.append(False)
-            else:
-                late = micros - last >= idle
-                last = micros
-                out.append(not late and not image)
-        return pd.DataFrame({by: x[by], "at": x["at"], "submission": out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), new()
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if row[by] != key:
+                    key, state = row[by], new()
+                out.append(step(state, row))
+            fields = _arrow_schema(schema)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(fields)], schema=fields)
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+
+def auto_runs(rows: DataFrame, by: str = "session_id", idle: int = RUN_IDLE) -> DataFrame:
+    """Rows (by, micros, at, command, image) that a program submitted: within a run that its start row opens and an idle gap ends."""
+
+    def step(state: list, r: dict) -> tuple:
+        last, at, submission = state[0], r["micros"], False
+        if r["command"] == "/auto":
+            state[0] = at
+        elif last is not None and at - last >= idle and not r["command"]:
+            state[0] = None
+        elif last is not None:
+            state[0] = at
+            submission = at - last < idle and not r["image"]
+        return r[by], r["at"], submission
 
     kind = dict(rows.dtypes)
-    return rows.groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, at {kind['at']}, submission boolean")
+    return fold(rows, by, ["micros", "at"], lambda: [None], step, f"{by} {kind[by]}, at {kind['at']}, submission boolean")
 
 
 def throttle(events: DataFrame, by: str, window: int) -> DataFrame:
     """Events (by, micros, at) that are loud: the first of each window, a window beginning at the last loud one."""
 
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["micros", "at"])
-        out, last = [], None
-        for m in x["micros"].tolist():
-            loud = last is None or m - last >= window
-            last = m if loud else last
-            out.append(loud)
-        return pd.DataFrame({by: x[by], "at": x["at"], "loud": out})
+    def step(state: list, r: dict) -> tuple:
+        loud = state[0] is None or r["micros"] - state[0] >= window
+        if loud:
+            state[0] = r["micros"]
+        return r[by], r["at"], loud
 
     kind = dict(events.dtypes)
-    return events.groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, at {kind['at']}, loud boolean")
+    return fold(events, by, ["micros", "at"], lambda: [None], step, f"{by} {kind[by]}, at {kind['at']}, loud boolean")
 
 
 def pair_turns(lines: DataFrame) -> DataFrame:
-    """Prompts with their stops, by turn key, else the newest open prompt before: lines (session_id, at, event, turn_key).
+    """Prompts with their stops, by turn key, else the newest open prompt before: lines (session_id, at, event, turn_key)."""
+    from lumenlog.streaming.pairing import PAIR_SCHEMA, pair
 
-    Keyless stops depend on which prompts are still open, so each session is folded in order.
-    """
-    from lumenlog.streaming.pairing import PAIR_SCHEMA, pair_session
+    def step(state: list, r: dict) -> tuple:
+        return (r["session_id"], *pair([(r["at"], r["event"], r["turn_key"])], *state)[0])
 
-    return lines.groupBy("session_id").applyInPandas(pair_session, PAIR_SCHEMA)
+    return fold(lines, "session_id", ["at"], lambda: [[], {}], step, PAIR_SCHEMA)

@@ -50,13 +50,6 @@ def _lines(x: pd.DataFrame) -> list[tuple[int, str, str | None]]:
     return [(int(a), e, None if pd.isna(k) else str(k)) for a, e, k in zip(x["at"], x["event"], x["turn_key"], strict=True)]
 
 
-def pair_session(x: pd.DataFrame) -> pd.DataFrame:
-    rows = pair(_lines(x), [], {})
-    out = pd.DataFrame(rows, columns=["at", "event", "prompt_at"]).astype({"prompt_at": "Int64"})
-    out.insert(0, "session_id", x["session_id"].iloc[0])
-    return out
-
-
 def pair_stream(lines: DataFrame, idle: str = "1 day") -> DataFrame:
     """The same over a stream: the state of a session (open prompts, keys) goes after a day without lines.
 
