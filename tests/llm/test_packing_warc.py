@@ -20,7 +20,7 @@ def test_ids_equal_the_tokenizer(spark):
 
     tok = Tokenizer.from_file(path)
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    texts += ["", " ", "Don't we'll 'S x_a__b 3²½ İx Σας ß <|endoftext|> a b á ﬁ ª º 12,5 a­b µ ÀÈ’s x\x1cy x\x85y ǅ ŉ", "'s.'s ''s a'sb don''t ...!!! _'re", "漢字 😀 x", "é́", "ÀÉÎ ŐŰ ſ ĸ"]
+    texts += ["", " ", "Don't we'll 'S x_a__b 3²½ İx Σας ß <|endoftext|> a b á ﬁ ª º 12,5 a­b µ ÀÈ’s x\x1cy x\x85y ǅ ŉ", "'s.'s ''s a'sb don''t ...!!! _'re", "漢字 😀 x", "é́", "ÀÉÎ ŐŰ ſ ĸ", "\u212a \u1e9e \u212b \u1e9eß", "x\u2003y\u3000z a\x0bb c\xa0d"]
     rng = random.Random(1)
     texts += ["".join(rng.choice("aB1é'_.,! \n\t%sſß") for _ in range(60)) for _ in range(300)]
     for t, raw in zip(texts, packing.ids_of(texts, path), strict=True):
@@ -50,6 +50,14 @@ def test_packing(docs, size):
     assert len(bins) <= -(-sum(r.length for r in rows) // size) * 1.1 + 1
 
 
+def test_a_full_memo_changes_nothing(monkeypatch):
+    path = packing.default_tokenizer()
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + k % 26)} {chr(233)}{k}x" for k in range(i, i + 30)) for i in range(40)] + ["漢字 worda", ""]
+    want = list(packing.ids_of(texts, path))
+    monkeypatch.setattr(packing, "MEMO", 25)
+    assert [raw for t in texts for raw in packing.ids_of([t], path)] == want
+
+
 def test_packing_of_an_empty_table(empty):
     assert packing.pack(empty, packing.default_tokenizer()).count() == 0
 
