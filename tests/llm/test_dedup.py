@@ -120,8 +120,9 @@ def test_linked_sets_share_a_signature(percent):
             continue
         t = np.repeat([0, 1], [len(a), len(b)])
         s = np.concatenate([np.sort(np.array(x, np.uint64)) for x in (a, b)])
-        ti, sig = jaccard_join.signatures(t, s, np.array([len(a), len(b)]), percent)
-        assert set(sig[ti == 0].tolist()) & set(sig[ti == 1].tolist())
+        ti, cls, sig = jaccard_join.signatures(t, s, np.array([len(a), len(b)]), percent)
+        at = [set(zip(cls[ti == i].tolist(), sig[ti == i].tolist(), strict=True)) for i in (0, 1)]
+        assert at[0] & at[1]
 
 
 def test_components(spark):
