@@ -3,10 +3,12 @@
 1. *Canonicalise.* A word with a digit becomes `<n>` (with a unit stuck to it, `<n><u>`), a unit word
    `<u>`, a capitalised word inside a sentence `<p>`; others are lower-cased without outer marks. The
    replaced words are the slots.
-2. *Join.* Every benchmark item gives its template windows of `width` words at all places; a text
-   gives those at every `stride`-th place, so any shared run of width + stride - 1 words meets. Both
-   meet in a hash join. Windows with fewer than `LITERALS` plain words say too little and are left out.
-   Items shorter than a window have the whole item as their window, at every place of a text.
+2. *Join.* Items and texts give the windows of `width` words at all places, and both meet in a hash
+   join. The key of a window is its template, or its own words where fewer than `LITERALS` of them
+   are plain and the template says too little. Items whose plain windows cover less than `COVER` of
+   them also give the plain windows of the first of the `RUNGS` that cover as much; those that have
+   none (under five plain words in each 48) are found with their own slot values only. Items shorter
+   than a window have the whole item as their window. An item's first word is tried as it may be read within a text.
 3. *Check slots.* Within a text and an item, one slot value of the item must always have become the
    same value. Windows that agree with this on their own count towards the item's coverage.
 
@@ -17,12 +19,16 @@ columns are ignored. The benchmark side is broadcast up to `SMALL` windows and s
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import load, stage
 
-WIDTH, STRIDE, LITERALS, COVER, SMALL = 8, 4, 5, 0.5, 200_000
+WIDTH, LITERALS, COVER, SMALL = 8, 5, 0.5, 200_000
+#: Wider windows for items of many slots.
+RUNGS = (9, 10, 12, 16, 24, 32, 48)
 
 #: Unit words (fixed values).
 UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "inch", "inches", "l", "ml", "litre", "litres", "liter", "liters", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "%", "$", "€", "°c", "°f", "kmh", "mph")
@@ -55,10 +61,36 @@ def _hashes(template: Column) -> Column:
     return F.transform(template, lambda w: F.xxhash64(w))
 
 
-def _windows(n: Column, hashes: Column, width: int, stride: int) -> Column:
-    """(place, hash) of the windows at every stride-th place, from 0; a text shorter than width has none."""
-    places = F.when(n >= width, F.sequence(F.lit(0), n - width, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda p: F.struct(p.cast("int").alias("at"), F.xxhash64(F.slice(hashes, p + 1, width)).alias("h")))
+def _heavy(n: Column, at: Column, width: Column) -> Column:
+    """The places whose window has too few plain words, from the sorted places of the slots."""
+    most = width - F.least(width, F.lit(LITERALS)) + 1  # slots that make a window heavy
+    ends = F.transform(F.sequence(F.lit(0), F.size(at) - most), lambda k: F.struct(F.get(at, k).alias("first"), F.get(at, k + most - 1).alias("last")))
+    dense = F.filter(ends, lambda e: e["last"] - e["first"] < width)
+    places = F.transform(dense, lambda e: F.sequence(F.greatest(e["last"] - width + 1, F.lit(0)), F.least(e["first"], n - width)))
+    return F.when((n >= width) & (F.size(at) >= most), F.array_distinct(F.flatten(places))).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(df: DataFrame, widths: list[Column]) -> DataFrame:
+    """df (words, t) with n, the count of words, and x: (at, w, light, h) of all windows of the widths, at every place; t is the template."""
+    df = df.withColumn("n", F.size("words")).withColumn("hashes", _hashes(F.col("t")))
+    df = df.withColumn("slots_at", F.filter(F.transform("t", lambda t, i: F.when(t.startswith("<"), i)), lambda i: i.isNotNull()))
+    df = df.withColumns({f"heavy{k}": _heavy(F.col("n"), F.col("slots_at"), w) for k, w in enumerate(widths)})
+    some = functools.reduce(Column.__or__, [F.size(f"heavy{k}") > 0 for k in range(len(widths))])
+    df = df.withColumn("own", F.when(some, _hashes(F.zip_with(_slots(F.col("words"), F.col("t")), "t", lambda s, t: F.coalesce(s, t)))))
+
+    def of(places: Column, w: Column, light: bool) -> Column:
+        def one(p: Column) -> Column:
+            h = F.xxhash64(F.slice("hashes", p + 1, w)) if light else F.xxhash64(F.slice("own", p + 1, w), F.lit("own"))
+            return F.struct(p.alias("at"), w.alias("w"), F.lit(light).alias("light"), h.alias("h"))
+
+        return F.transform(places, one)
+
+    parts = []
+    for k, w in enumerate(widths):
+        every = F.when(F.col("n") >= w, F.sequence(F.lit(0), F.col("n") - w)).otherwise(F.array().cast("array<int>"))
+        heavy = F.col(f"heavy{k}")
+        parts += [of(F.when(F.size(heavy) > 0, F.array_except(every, heavy)).otherwise(every), w, True), of(heavy, w, False)]
+    return df.withColumn("x", F.explode(F.concat(*parts))).drop("hashes", "slots_at", "own", *(f"heavy{k}" for k in range(len(widths))))
 
 
 def _slots(words: Column, template: Column) -> Column:
@@ -66,28 +98,37 @@ def _slots(words: Column, template: Column) -> Column:
     return F.zip_with(words, template, lambda w, t: F.when(t.startswith("<") & t.endswith(">"), F.lower(F.regexp_replace(w, "[.,;:!?\"')\\]]+$", ""))))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH, stride: int = STRIDE, cover: float = COVER) -> DataFrame:
+def _item_keys(bench: DataFrame, width: int, cover: float) -> DataFrame:
+    """item_id, n, w, item_at, h and item_slots for each window that stands for an item."""
+    items = bench.where(F.col("item_id").isNotNull()).select("item_id", _words("text").alias("words")).where(F.size("words") > 0).withColumn("n", F.size("words")).withColumn("t", _template(F.col("words")))
+    # within a text, an item's first word may be read as a name or a unit
+    first, rest = F.get("t", F.lit(0)), F.slice("t", 2, F.greatest(F.col("n") - 1, F.lit(0)))
+    name = F.get("words", F.lit(0)).rlike("^[^\\p{L}\\p{N}]*\\p{Lu}\\p{Ll}") & ~first.startswith("<")
+    heads = F.filter(F.array(first, F.when(name, "<p>"), F.when(first.isin(*UNITS), "<u>")), lambda h: h.isNotNull())
+    items = items.select("item_id", "words", F.explode(F.transform(heads, lambda h: F.concat(F.array(h), rest))).alias("t")).dropDuplicates(["item_id", "words", "t"])
+    rungs = F.array(*map(F.lit, (width, *(r for r in RUNGS if r > width))))
+    items = items.withColumn("w", F.explode(F.when(F.size("words") < width, F.array(F.size("words"))).otherwise(F.filter(rungs, lambda r: r <= F.size("words")))))
+    keys = stage(_windows(items, [F.col("w")]).drop("w"), "windows")
+    # the narrowest windows that are plain enough in half of the item
+    reach = keys.where("x.light").select("item_id", "words", "t", "n", "x.w", F.explode(F.sequence(F.col("x.at"), F.col("x.at") + F.col("x.w") - 1)).alias("k")).groupBy("item_id", "words", "t", "n", "w").agg(F.countDistinct("k").alias("k"))
+    most = reach.where(F.col("k") >= F.ceil(F.col("n") * cover)).groupBy("item_id", "words", "t").agg(F.min("w").alias("most"))
+    keys = keys.join(most, ["item_id", "words", "t"], "left").where((F.col("x.w") <= width) | F.col("x.light") & (F.col("x.w") == F.col("most")))
+    keys = keys.withColumn("slots", _slots(F.col("words"), F.col("t")))
+    return keys.select("item_id", "n", "x.w", F.col("x.at").alias("item_at"), "x.h", F.slice("slots", F.col("x.at") + 1, F.col("x.w")).alias("item_slots")).dropDuplicates()
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, covered and item_words (words of the item covered, and all) for each contaminated pair."""
-    items = bench.where(F.col("item_id").isNotNull()).select("item_id", _words("text").alias("words")).withColumn("t", _template(F.col("words"))).withColumn("n", F.size("words")).where("n > 0")
-    items = items.select("item_id", "n", F.least(F.col("n"), F.lit(width)).alias("w"), _hashes(F.col("t")).alias("hashes"), _slots(F.col("words"), F.col("t")).alias("slots"))
-    plain = F.size(F.filter(F.slice("slots", F.col("x.at") + 1, F.col("w")), lambda s: s.isNull()))
-    keys = items.select("item_id", "n", "w", "slots", F.explode(F.when(F.col("n") >= width, _windows(F.col("n"), F.col("hashes"), width, 1)).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("hashes").alias("h"))))).alias("x"))
-    keys = keys.where(plain >= F.least(F.lit(LITERALS), F.col("w"))).select("item_id", "n", "w", F.col("x.at").alias("item_at"), F.col("x.h").alias("h"), F.slice("slots", F.col("x.at") + 1, F.col("w")).alias("item_slots"))
-    keys = stage(keys, "bench")
-    count = keys.groupBy("w").count().collect()  # at most `width` rows
+    keys = stage(_item_keys(bench, width, cover), "bench")
+    count = keys.groupBy("w").count().collect()  # at most `width` rows and one for each rung
     small = sum(r["count"] for r in count) <= SMALL
-    t = docs.where(F.col("text").isNotNull()).select("doc_id", _words("text").alias("words"))
-    t = t.withColumn("hashes", _hashes(_template(F.col("words")))).withColumn("n", F.size("words"))
-    found = None
-    for r in sorted(count):
-        own = keys.where(F.col("w") == r["w"]).drop("n")
-        step = stride if r["w"] == width else 1
-        windows = t.select("doc_id", F.explode(_windows(F.col("n"), F.col("hashes"), r["w"], step)).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
-        hits = windows.join(F.broadcast(own) if small else own, "h").drop("h")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not count:
         return docs.where("1 = 0").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("item_words"))
-    hits = stage(found.dropDuplicates(["doc_id", "at", "item_id", "item_at"]), "hits")
+    t = docs.where(F.col("text").isNotNull()).select("doc_id", _words("text").alias("words")).withColumn("t", _template(F.col("words")))
+    windows = _windows(t, [F.lit(w) for w in sorted(r["w"] for r in count)]).select("doc_id", F.col("x.at").alias("at"), F.col("x.w").alias("w"), F.col("x.h").alias("h"))
+    own = keys.drop("n")
+    found = windows.join(F.broadcast(own) if small else own, ["h", "w"]).drop("h")
+    hits = stage(found.dropDuplicates(["doc_id", "at", "w", "item_id", "item_at", "item_slots"]), "hits")
     raw = docs.where(F.col("text").isNotNull()).dropDuplicates(["doc_id"]).join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words("text").alias("words")).withColumn("t", _template(F.col("words")))
     raw = raw.select("doc_id", _slots(F.col("words"), F.col("t")).alias("slots"))
     both = hits.join(raw, "doc_id").withColumn("pair", F.arrays_zip(F.col("item_slots").alias("item"), F.slice("slots", F.col("at") + 1, F.col("w")).alias("doc")))
@@ -98,7 +139,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH, stride:
     map_of = said.groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("item", "doc"))).alias("value"))  # as many as an item has slots
     agree = both.join(map_of, ["doc_id", "item_id"], "left").where(F.forall("pair", lambda p: p["doc"].eqNullSafe(F.col("value")[p["item"]])))
     words = agree.select("doc_id", "item_id", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + F.col("w") - 1)).alias("k")).groupBy("doc_id", "item_id").agg(F.countDistinct("k").alias("covered"))
-    sizes = items.groupBy("item_id").agg(F.max("n").cast("long").alias("item_words"))
+    sizes = keys.groupBy("item_id").agg(F.max("n").cast("long").alias("item_words"))
     return words.join(sizes, "item_id").where(F.col("covered") >= F.ceil(F.col("item_words") * cover)).select("doc_id", "item_id", "covered", "item_words")
 
 

@@ -57,3 +57,25 @@ def test_planted_items_of_the_tables(spark):
     gold = set(duckdb.sql(f"select doc_id, item_id from '{sf}/documents.parquet' d join '{sf}/benchmark.parquet' b on contains(d.text, b.text)").fetchall())
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert gold and gold <= got and len(got) < 1.2 * len(gold) + 3
+
+
+SHORT = "Tom sold nine old red hats at noon today quietly"
+DENSE = "Each day Tom sells 12 pens , 7 cups , 30 books and 4 lamps for 95 dollars to Ann , Bob and Eve"
+
+
+@pytest.mark.parametrize("n", [8, 9, 10])
+def test_items_of_about_a_window_are_found_at_every_offset(spark, words, n):
+    item = " ".join(SHORT.split()[:n])
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(i, " ".join([*words(9).split()[:i], item, words(9)])) for i in range(9)]
+    got = {r["doc_id"] for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == set(range(9))
+
+
+def test_items_dense_in_slots_are_found(spark, words):
+    bench = spark.createDataFrame([(0, DENSE), (1, "3 plus 4 is 7"), (2, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")
+    other = DENSE.replace("12", "15").replace("30", "41").replace("Tom", "Joe").replace("95", "80")
+    rows = [(10 * k + i, f"{' '.join(words(9).split()[:i])} {x} {words(9)}") for k, x in enumerate([DENSE, other]) for i in range(8)]
+    rows += [(50, f"so 3 plus 4 is 7 {words(9)}"), (51, f"so 3 plus 5 is 8 {words(9)}"), (52, "0 1 2 3 4 5 6 7 8 9 10 11 12 13"), (53, "9 8 7 6 5 4 3 2 1 0 9 8 7 6 5")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(10 * k + i, 0) for k in range(2) for i in range(8)} | {(50, 1), (52, 2)}
