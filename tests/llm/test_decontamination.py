@@ -79,3 +79,12 @@ def test_items_dense_in_slots_are_found(spark, words):
     rows += [(50, f"so 3 plus 4 is 7 {words(9)}"), (51, f"so 3 plus 5 is 8 {words(9)}"), (52, "0 1 2 3 4 5 6 7 8 9 10 11 12 13"), (53, "9 8 7 6 5 4 3 2 1 0 9 8 7 6 5")]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(10 * k + i, 0) for k in range(2) for i in range(8)} | {(50, 1), (52, 2)}
+
+
+def test_occurrences_with_other_slots_do_not_mix(spark, bench, words):
+    one, two = ITEM.replace("Paris", "Lyon").replace("12", "31").replace("5 kg", "7 kg"), ITEM.replace("Paris", "Rome").replace("12", "99").replace("5 kg", "2 kg")
+    rows = [(10 * k + i, f"{words(i + 1)} {a} {words(i)} {b} {words(5)}") for k, (a, b) in enumerate([(ITEM, one), (one, ITEM), (one, two), (two, one)]) for i in range(8)]
+    longer = one.replace("how much", "please tell me how very much")
+    rows += [(90, f"{longer} {two}"), (91, " ".join([one, two, ITEM] * 4))]
+    got = {r["doc_id"] for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("item_id = 0").collect()}
+    assert got == {r[0] for r in rows}
