@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -87,14 +89,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (id, root), root the smallest id reachable.
 
-    Alternating large-star and small-star steps on staged tables, so a hub is never gathered in one task.
+    Alternating large-star and small-star steps on staged tables until nothing changes. Minima are
+    combined before they are sent; a hub's neighbours are rows of its join, which Spark splits where skewed.
     """
     e = stage(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "u long, v long").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         m = F.least("u", "m")
@@ -106,8 +109,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     return roots.union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
@@ -206,6 +207,20 @@ def slices(batch: pa.RecordBatch, col: str, most: int = SLICE_BYTES) -> Iterator
         lo = hi
 
 
+def tidied(f):
+    """f, a function of mapInArrow, that gives its memory back when it is done: Spark keeps Python workers for the next task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def filled(col: pa.Array) -> pa.Array:
     import pyarrow.compute as pc
 

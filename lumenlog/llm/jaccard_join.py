@@ -10,17 +10,22 @@ Links join documents whose sets of `k`-word shingles have Jaccard similarity of
    stays in both. Sizes are dealt into classes; a set has the signatures of its own class and, if it
    can link upwards, of the next. Tiny sets and those with more empty parts than the slack have each
    shingle of a prefix as a signature instead.
-2. *Groups.* Sets of a class with a common signature become a group; connected groups a block. A set
-   can be in a block of either of its classes, so blocks don't run on from one size to the next.
-3. *Token-group matrix.* A block's sets meet in one task, or, when there are many, in one task for
-   each pair of its chunks. A task orders the sets, cuts them into groups of similar ones, and
-   keeps each group's union of shingles. A set opens a group only if its overlap with that union
-   reaches the bound; only then are exact similarities taken. Sets already joined need no link.
-4. *Components* over the links found, with class members added.
+2. *Blocks.* Sets of a class with a common signature are candidates; connected candidates a block. A
+   set can be in a block of either of its classes, so blocks don't run on from one size to the next.
+   A block is dealt into chunks of bounded size. Only members' shingles are sent to them, as hashes.
+3. *Token-group matrix.* A chunk's sets meet in one task, which orders them, cuts them into groups of
+   similar ones, and keeps each group's union of shingles. A set opens a group only if its overlap
+   with that union reaches the bound; only then are exact similarities taken.
+4. *Blocks of many chunks.* One set of each component found so far meets those of the block's other
+   chunks, until no more of them link. A block of near copies is one component then. Sets outside
+   their block's largest component then visit those other chunks that hold a set with one of their
+   signatures and of another component, in batches of bounded size, and meet the same matrix there.
+5. *Components* over the links found, by the smallest doc_id of each set; copies take their set's.
 
 Documents without words (null or empty text) have no shingles and stay alone; one with fewer than k
 words has its whole word sequence as its shingle. Ties don't matter. Rows with equal doc_id count
-as one document of a class. Other columns are ignored.
+as one document: what one of their texts links, is linked to all. A null doc_id links with nothing.
+Sets and shingles are identified by 128 and 64 bits of hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +34,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import Words, components, filled, load, mix, slices, stage
+from lumenlog.llm.common import Words, components, filled, load, mix, slices, stage, tidied
 
 #: Sets and shingles of a block's chunk; sets of a group of the matrix, and cells of it at once.
-CHUNK, CHUNK_SHINGLES, GROUP, CELLS = 3000, 600_000, 64, 4_000_000
+CHUNK, CHUNK_SHINGLES, GROUP, CELLS = 3000, 500_000, 64, 4_000_000
 TINY = 16
-#: Members of blocks up to which their list is sent to the texts; beyond, the texts are shuffled to it.
-SMALL = 500_000
+#: Shares that a block's rows are dealt over where they look up what holds for the block; sets that a task remembers to have signed.
+SALTS, REMEMBERED = 16, 1_000_000
 
 
 def classes(percent: int) -> list[tuple[int, int]]:
@@ -163,13 +167,16 @@ def _identify(k: int, percent: int):
 
 def _sign(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for x in slices(b, "text"):
                 t, s = shingle_sets(Words(filled(x.column("text")), lower=True), k)
                 size, a, _ = identities(t, s, x.num_rows)
-                _, first = np.unique(a, return_index=True)  # copies within a slice sign once
+                held, first = np.unique(a, return_index=True)  # copies within a task sign once
                 one = np.zeros(len(a), bool)
-                one[first] = True
+                one[first[[h not in seen for h in held.tolist()]]] = True
+                seen = seen if len(seen) < REMEMBERED else set()
+                seen.update(held.tolist())
                 row = one[t]
                 ti, cls, sig = signatures(t[row], s[row], np.where(one, size, 0), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(a[ti].view(np.int64)), pa.array(size[ti].astype(np.int32)), pa.array(cls.astype(np.int32))], ["sig", "set1", "n", "cls"])
@@ -177,10 +184,11 @@ def _sign(k: int, percent: int):
     return run
 
 
-def matrix_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def matrix_links(sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the linked sets of a task into their components (a spanning part of all links).
 
-    side: 0 for one chunk alone, else 1 and 2, and only links across count, once those within are known elsewhere.
+    side: 0 for one chunk alone, else 1 for members and 2 for visitors, and only links across count.
+    known: numbers of the components that the sets are in already, which need no link.
     """
     n = len(sets)
     size = np.array([len(x) for x in sets])
@@ -197,6 +205,9 @@ def matrix_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     parent = np.arange(n)
+    if known is not None:
+        _, first, component = np.unique(known, return_index=True, return_inverse=True)
+        parent = first[component]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -254,13 +265,44 @@ def matrix_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list
     return links
 
 
-def _open(k: int, percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, s = shingle_sets(Words(pa.array(rows["text"], pa.string()), lower=True), k)
-        at = np.searchsorted(t, np.arange(len(rows) + 1))
-        ids = rows["set1"].to_numpy()
-        links = matrix_links([s[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], rows["side"].to_numpy(), percent)
-        return pd.DataFrame({"a": ids[[x for x, _ in links]], "b": ids[[y for _, y in links]]}, dtype="int64") if links else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def _bodies(k: int):
+    """The sorted shingles of each row's text, where they are the set that the row stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in slices(b, "text"):
+                t, s = shingle_sets(Words(filled(x.column("text")), lower=True), k)
+                size, a, _ = identities(t, s, x.num_rows)
+                at = np.flatnonzero(a.view(np.int64) == x.column("set1").to_numpy())
+                end = np.cumsum(size)
+                tokens = [s[end[i] - size[i] : end[i]].tobytes() for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(at)) for c in ("doc_id", "block", "chunk", "chunks")), pa.array(size[at].astype(np.int32)), pa.array(tokens, pa.binary())], ["rep", "block", "chunk", "chunks", "n", "tokens"])
+
+    return run
+
+
+def _open(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("rep").to_numpy()
+        side = rows.column("side").to_numpy() if "side" in rows.column_names else np.zeros(len(ids), np.int64)
+        known = rows.column("root").to_numpy() if "root" in rows.column_names else None
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in rows.column("tokens").chunks for x in c]
+        links = np.array(matrix_links(sets, side, percent, known), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
+
+    return run
+
+
+def _resign(percent: int):
+    """The signatures of sets given by their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in slices(b, "tokens"):
+                size = x.column("n").to_numpy().astype(np.int64)
+                s = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in x.column("tokens")])
+                ti, _, sig = signatures(np.repeat(np.arange(len(size)), size), s, size, percent)
+                yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(ti)) for c in ("rep", "block", "chunk", "root", "main")), pa.array(sig.view(np.int64))], ["rep", "block", "chunk", "root", "main", "sig"])
 
     return run
 
@@ -270,33 +312,75 @@ def _node(set1: str, cls: Column) -> Column:
     return F.xxhash64(set1, cls)
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, by: str = "rep") -> DataFrame:
+    """rows joined with table (one row a key); a key of many rows is dealt over salts."""
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
+def _chunked(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (rep, n, block) with chunks, the count of chunks of their block, and chunk."""
+    count = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    return _looked_up(rows, rows.groupBy("block").agg(count.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("chunks")).cast("int"))
+
+
+def _across(bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between chunks (a, b), given all sets of blocks with several chunks, and the components within chunks."""
+    opened = _open(percent)
+    links, edges, before = [], roots.select(F.col("id").alias("a"), F.col("root").alias("b")), None
+    seed = 3
+    while True:
+        known = stage(bodies.drop("chunks").join(roots, F.col("rep") == F.col("id"), "left").withColumn("root", F.coalesce("root", "rep")).drop("id"), "known")
+        first = Window.partitionBy("block", "root").orderBy(F.desc("n"), "rep")
+        heads = known.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("rep", "n", "block", "root", "tokens")
+        count = heads.count()
+        if before is not None and count > 0.75 * before:
+            break
+        before, seed = count, seed + 1
+        links.append(stage(_chunked(heads, seed).select("block", "chunk", "rep", "tokens").groupBy("block", "chunk").applyInArrow(opened, "a long, b long"), "head-links"))
+        edges = edges.union(links[-1])
+        roots = stage(components(edges), "roots")
+    # every set out of the block's largest component visits where a set of another component has a signature of it
+    main = known.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    known = stage(_looked_up(known, main, "block"), "known")
+    signed = stage(known.select("rep", "n", "block", "chunk", "root", "main", "tokens").mapInArrow(tidied(_resign(percent)), "rep long, block long, chunk int, root long, main long, sig long"), "signed")
+    targets = signed.groupBy("sig", "block", F.col("chunk").alias("to")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    visits = signed.where("root <> main").join(targets, ["sig", "block"]).where("chunk <> to and (low <> root or high <> root)").select("rep", "block", F.col("to").alias("chunk")).distinct()
+    visits = stage(visits.join(known.select("rep", "block", "root", "n", "tokens"), ["rep", "block"]), "visits")
+    batches = visits.groupBy("block", "chunk").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("batches"))
+    guests = visits.join(batches, ["block", "chunk"]).withColumn("batch", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("batches")).cast("int"))
+    hosts = known.join(batches, ["block", "chunk"]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    columns = ["block", "chunk", "batch", "rep", "root", "tokens"]
+    met = hosts.select(*columns, F.lit(1).alias("side")).union(guests.select(*columns, F.lit(2).alias("side")))
+    links.append(met.groupBy("block", "chunk", "batch").applyInArrow(opened, "a long, b long"))
+    found = links[0]
+    for x in links[1:]:
+        found = found.union(x)
+    return found
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    ids = stage(docs.mapInArrow(_identify(k, percent), "doc_id long, n_shingles long, set1 long, set2 long, cls int"), "sets")
-    signed = docs.mapInArrow(_sign(k, percent), "sig long, set1 long, n int, cls int")
+    ids = stage(docs.mapInArrow(tidied(_identify(k, percent)), "doc_id long, n_shingles long, set1 long, set2 long, cls int"), "sets")
+    signed = docs.mapInArrow(tidied(_sign(k, percent)), "sig long, set1 long, n int, cls int")
     # sets that share a signature: each next to its neighbour by size, if that can link
     w = Window.partitionBy("sig").orderBy("n", "set1")
     near = signed.withColumn("p", F.lag("set1").over(w)).withColumn("pn", F.lag("n").over(w))
     edges = stage(near.where(f"p <> set1 and 100 * pn >= {percent} * n").select(_node("set1", F.col("cls")).alias("a"), _node("p", F.col("cls")).alias("b")).distinct(), "candidates")
     blocks = stage(components(edges).select(F.col("id").alias("node"), F.col("root").alias("block")), "blocks")
-    one = ids.where("n_shingles > 0").groupBy("set1").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("cls").alias("cls"))
-    one = one.withColumn("node", F.explode(F.array(_node("set1", F.col("cls")), _node("set1", F.col("cls") + 1)))).join(blocks, "node")
-    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    size = one.groupBy("block").agg(chunks.alias("chunks"))
-    placed = stage(one.join(size, "block").withColumn("chunk", F.pmod(F.xxhash64("set1"), F.col("chunks")).cast("int")), "placed")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    members = placed.select("doc_id", "set1", "block", "chunk", "chunks")
-    pairs = docs.join(F.broadcast(members) if members.count() <= SMALL else members, "doc_id").withColumn("other", other).select(
-        "block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "set1", "text",
-        F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    links = pairs.groupBy("block", "lo", "hi").applyInPandas(_open(k, percent), "a long, b long")
-    roots = components(stage(links, "links"))
-    classes_ = ids.where("n_shingles > 0").select("doc_id", "set1", "set2").join(roots, F.col("set1") == F.col("id"), "left").select("doc_id", F.coalesce("root", "set1").alias("group"), F.when(F.col("root").isNull(), F.col("set2")).alias("set2"))
-    named = classes_.groupBy("group", "set2").agg(F.min("doc_id").alias("component_id"))
-    found = classes_.join(named, (classes_["group"] == named["group"]) & classes_["set2"].eqNullSafe(named["set2"])).select(classes_["doc_id"], "component_id").distinct()
-    return ids.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    one = stage(ids.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("cls").alias("cls")).where("rep is not null"), "classes")
+    members = one.withColumn("node", F.explode(F.array(_node("set1", F.col("cls")), _node("set1", F.col("cls") + 1)))).join(blocks, "node").select("rep", "set1", "n", "block")
+    placed = stage(_chunked(members, 3).select(F.col("rep").alias("doc_id"), "set1", "block", "chunk", "chunks"), "placed")
+    bodies = stage(docs.join(placed.hint("shuffle_hash"), "doc_id").mapInArrow(tidied(_bodies(k)), "rep long, block long, chunk int, chunks int, n int, tokens binary"), "bodies")
+    links = stage(bodies.select("block", "chunk", "rep", "tokens").groupBy("block", "chunk").applyInArrow(_open(percent), "a long, b long"), "links")
+    roots = stage(components(links), "roots")
+    several = bodies.where("chunks > 1")
+    if not several.isEmpty():
+        roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(_across(several, roots, percent))), "roots")
+    named = one.join(roots, F.col("rep") == F.col("id"), "left").select("set1", "set2", F.coalesce("root", "rep").alias("component_id"))
+    found = ids.join(named, ["set1", "set2"], "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

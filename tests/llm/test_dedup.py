@@ -99,10 +99,11 @@ def test_jaccard_of_an_empty_table(empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
-def test_jaccard_with_blocks_of_several_chunks(docs, monkeypatch):
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (2, 60)])
+def test_jaccard_with_blocks_of_several_chunks(docs, monkeypatch, k, percent):
     monkeypatch.setattr(jaccard_join, "CHUNK", 3)
     monkeypatch.setattr(jaccard_join, "GROUP", 2)
-    assert {tuple(r) for r in jaccard_join.jaccard_join(docs, 4, 85).collect()} == brute_components(texts(docs), 4, 85)
+    assert {tuple(r) for r in jaccard_join.jaccard_join(docs, k, percent).collect()} == brute_components(texts(docs), k, percent)
 
 
 @pytest.mark.parametrize("percent", [80, 85])
