@@ -15,7 +15,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import SPACE, hot_keys, load, stage
@@ -23,9 +23,14 @@ from lumenlog.llm.common import SPACE, hot_keys, load, stage
 SALTS, LARGE = 64, 10_000
 
 
+def normal(text: str) -> Column:
+    """The text with each run of ASCII white space as one space; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+
+
 def exact_dedup(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, keep_id (smallest doc_id of the equal texts), group_size, kept and text_sha256 for each row of docs."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
+    text = normal("text")
     digest = F.unhex(F.sha2(text, 256))
     keys = stage(docs.select("doc_id", digest.alias("digest")).withColumn("h", F.xxhash64("digest")), "digests")
     hot = hot_keys(keys, "h", large)

@@ -1,55 +1,88 @@
 """Operator 8, language ID: a linear-chain conditional random field over the words of a text.
 
 A word's features are itself (a lexicon of hashed forms), its prefixes and suffixes of up to three
-characters and its character bi- and trigrams; transitions between neighbouring words' languages are
-learned as well. Forward-backward gives each word's language distribution; a text's language is the
-one with the largest share of its words, the share being the score.
-
-Training takes at most 2 x `PER_LANGUAGE` texts of each language of the fold that isn't held out,
-chosen by a hash of the text, joined into code-switched sequences so that transitions have both
-cases. Null texts and those without letters get `und` with score 0, as do all texts when there is
-nothing to learn from. Ties go to the first language by name. Other columns are ignored.
+characters and all its character bi- and trigrams; transitions between neighbouring words' languages
+are learned as well. Scripts written without spaces are cut into words of up to four characters.
+Forward-backward gives each word's language distribution; a text's language is the one with the
+largest share of its words, the share being the score.
+
+Training reads a bounded sample of the fold that isn't held out: at most 2 x `PER_LANGUAGE` texts of
+each language (fewer where there are more than `TEXTS` / `PER_LANGUAGE` languages, so that the
+sample stays bounded), of at most `sampling.LONGEST` characters each, chosen by a hash of the text.
+All languages are learned. Texts are joined into code-switched sequences so that transitions have
+both cases. Null texts and those without letters get `und` with score 0, as do all texts when there
+is nothing to learn from. Ties go to the first language by name. Repeated rows are treated alike.
+Other columns, whatever their names, are ignored or passed through.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenlog.llm.common import load, mix, slices
-from lumenlog.llm.sampling import by_text_hash, fold
+from lumenlog.llm.common import load, mix, slices, tidied
+from lumenlog.llm.sampling import by_group, fold
 
-PER_LANGUAGE, LANGUAGES = 250, 64
-BUCKETS, LONGEST, MEMO = 1 << 15, 24, 400_000
+#: Texts of a language that training is to read, and texts of all languages at which each gets fewer.
+PER_LANGUAGE, TEXTS = 250, 16_000
+#: Buckets of hashed features; distinct words whose weights a task remembers; bytes of text it holds at once.
+BUCKETS, MEMO, SLICE = 1 << 15, 200_000, 1 << 20
 _STRIP = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»„“”‚‘’…¿¡–—"
 
 
-def word_features(words: list[str]) -> np.ndarray:
-    """Hashed feature indices of lower-case words, a row each, padded with BUCKETS."""
-    m = np.array(words, f"U{LONGEST}").view(np.uint32).reshape(len(words), LONGEST).astype(np.uint64)
-    n = (m > 0).sum(axis=1)
-    out = []
+#: Thai, Lao, Myanmar, Khmer, kana and Han, which are written without spaces.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_PIECES = re.compile(f"[{_UNSPACED}]{{1,4}}|[^{_UNSPACED}\\s]+")
+
+
+def tokens(text: str) -> list[str]:
+    """The lower-case words of a text, and pieces of what is written without spaces."""
+    text = text.lower()
+    return _PIECES.findall(text) if _HAS_UNSPACED.search(text) else text.split()
+
 
-    def add(kind: int, codes: list[np.ndarray], ok: np.ndarray) -> None:
-        h = np.full(len(m), kind, np.uint64)
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature indices of lower-case words as flat arrays: those of word i are feature[first[i]:first[i + 1]]."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    end = np.cumsum(size)
+    begin = end - size
+    owner = np.repeat(np.arange(len(words)), size)
+    owners, found = [], []
+
+    def add(kind: int, who: np.ndarray, *codes: np.ndarray) -> None:
+        h = np.full(len(who), kind, np.uint64)
         for c in codes:
             h = mix(h * np.uint64(0x100000001B3) ^ c)
-        out.append(np.where(ok, (h % np.uint64(BUCKETS)).astype(np.int64), BUCKETS))
+        owners.append(who)
+        found.append((h % np.uint64(BUCKETS)).astype(np.int64))
 
-    add(1, list(m.T), n > 0)
-    rows = np.arange(len(m))
-    last = [m[rows, np.maximum(n - k, 0)] for k in (1, 2, 3)]
+    place = (np.arange(len(code)) - begin[owner]).astype(np.uint64)
+    whole = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix(mix(code, 41) ^ place, 42), out=whole[1:])
+    add(1, np.arange(len(words)), whole[end] - whole[begin])
     for k in (1, 2, 3):
-        add(10 + k, list(m.T[:k]), n >= k)
-        add(20 + k, last[:k], n >= k)
-    for i in range(10):
-        add(30, [m[:, i], m[:, i + 1]], n > i + 1)
-        add(40, [m[:, i], m[:, i + 1], m[:, i + 2]], n > i + 2)
-    return np.stack(out, axis=1)
+        i = np.flatnonzero(size >= k)
+        add(10 + k, i, *(code[begin[i] + x] for x in range(k)))
+        add(20 + k, i, *(code[end[i] - 1 - x] for x in range(k)))
+    for kind, k in ((30, 2), (40, 3)):
+        at = np.flatnonzero(owner[: len(code) - k + 1] == owner[k - 1 :]) if len(code) >= k else np.zeros(0, np.int64)
+        add(kind, owner[at], *(code[at + x] for x in range(k)))
+    who, feature = np.concatenate(owners), np.concatenate(found)
+    order = np.argsort(who, kind="stable")
+    return np.append(0, np.cumsum(np.bincount(who, minlength=len(words)))), feature[order]
+
+
+def emissions(w: np.ndarray, first: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """The summed weights of each word's features; every word has some."""
+    return np.add.reduceat(w[feature], first[:-1], axis=0) if len(feature) else np.zeros((0, w.shape[1]), w.dtype)
 
 
 def _bare(token: str) -> str:
@@ -58,8 +91,11 @@ def _bare(token: str) -> str:
     return w if any(map(str.isalpha, w)) else ""
 
 
-def sums(first: np.ndarray, emission: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marginals of each word (rows of emission, in log space), for sequences first[i]:first[i + 1], by forward-backward over all of them at once."""
+def sums(first: np.ndarray, emission: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each word (rows of emission, in log space), and the expected count of each pair of neighbours' languages.
+
+    Forward-backward over all sequences first[i]:first[i + 1] at once.
+    """
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     active = np.searchsorted(-length[order], -np.arange(1, (length.max() if len(length) else 0) + 1), "right")
@@ -74,16 +110,35 @@ def sums(first: np.ndarray, emission: np.ndarray, trans: np.ndarray, start: np.n
         a /= a.sum(axis=1, keepdims=True)
         alpha[at] = a
     b = np.ones((len(order), e.shape[1]), e.dtype)
+    pairs = np.zeros_like(t)
     for step in range(len(active) - 1, 0, -1):
         n = active[step]
         at = head[:n] + step
+        after = e[at] * b[:n]
+        x = after @ t.T
+        before = alpha[at - 1]
+        pairs += t * ((before / (before * x).sum(axis=1, keepdims=True)).T @ after)
         alpha[at] *= b[:n]
-        x = (e[at] * b[:n]) @ t.T
         b[:n] = x / x.sum(axis=1, keepdims=True)
     if len(active):
         at = head[: active[0]]
         alpha[at] *= b[: active[0]]
-    return alpha / alpha.sum(axis=1, keepdims=True)
+    return alpha / alpha.sum(axis=1, keepdims=True), pairs
+
+
+def gradient(first: np.ndarray, emission: np.ndarray, gold: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log likelihood of gold, by emissions, transitions and starts: what is observed less what is expected."""
+    p, pairs = sums(first, emission, trans, start)
+    d, heads = -p, first[:-1][np.diff(first) > 0]
+    d_start = d[heads].sum(axis=0)
+    np.add.at(d_start, gold[heads], 1)
+    d[np.arange(len(gold)), gold] += 1
+    inner = np.ones(len(gold), bool)
+    inner[first[1:][np.diff(first) > 0] - 1] = False
+    i = np.flatnonzero(inner)
+    d_trans = -pairs
+    np.add.at(d_trans, (gold[i], gold[i + 1]), 1)
+    return d, d_trans, d_start
 
 
 class Model:
@@ -92,19 +147,19 @@ class Model:
     def __init__(self, languages: list[str]):
         self.languages = languages
         k = len(languages)
-        self.w, self.trans, self.start = np.zeros((BUCKETS + 1, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32)
+        self.w, self.trans, self.start = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32)
 
     def fit(self, texts: list[str], langs: list[str], rounds: int = 5, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
         docs = []
         for text, lang in zip(texts, langs, strict=True):
-            words = [b for x in text.lower().split() if (b := _bare(x))]
+            words = [b for x in tokens(text) if (b := _bare(x))]
             if words:
                 docs.append((np.array([index.setdefault(w, len(index)) for w in words]), self.languages.index(lang)))
         if not docs:
             return self
-        feats = word_features(list(index))
+        at_word, feats = word_features(list(index))
         seqs = []
         for _ in range(4 * len(docs)):  # stretches of up to three texts in a row
             parts = [docs[i] for i in rng.integers(0, len(docs), rng.integers(1, 4))]
@@ -121,39 +176,31 @@ class Model:
                 part = seqs[lo : lo + 64]
                 first = np.cumsum([0, *(len(s[0]) for s in part)])
                 words, gold = np.concatenate([s[0] for s in part]), np.concatenate([s[1] for s in part])
-                f = feats[words]
-                em = self.w[f].sum(axis=1)
-                p = sums(first, em, self.trans, self.start)
-                d = -p
-                d[np.arange(len(gold)), gold] += 1
+                used, word = np.unique(words, return_inverse=True)
+                n = at_word[used + 1] - at_word[used]
+                begin = np.append(0, np.cumsum(n))
+                f = feats[np.repeat(at_word[used] - begin[:-1], n) + np.arange(begin[-1])]
+                d, d_trans, d_start = gradient(first, emissions(self.w, begin, f)[word], gold, self.trans, self.start)
                 g = np.zeros_like(self.w)
                 for c in range(k):
-                    g[:, c] = np.bincount(f.ravel(), np.repeat(d[:, c], f.shape[1]), BUCKETS + 1)
-                inner = np.ones(len(gold), bool)
-                inner[first[1:] - 1] = False
-                i = np.flatnonzero(inner)
-                # expected pairs from the marginals of both ends and the transition between them
-                e1 = p[i][:, :, None] * p[i + 1][:, None, :] * np.exp(self.trans)[None]
-                e1 /= e1.sum(axis=(1, 2), keepdims=True)
-                gt_now = -e1.sum(axis=0)
-                np.add.at(gt_now, (gold[i], gold[i + 1]), 1)
-                gs_now = -p[first[:-1]].sum(axis=0)
-                np.add.at(gs_now, gold[first[:-1]], 1)
-                for w, grad, square, rate in ((self.w, g, gw, 0.1), (self.trans, gt_now, gt, 0.1), (self.start, gs_now, gs, 0.1)):
+                    g[:, c] = np.bincount(f, np.repeat(np.bincount(word, d[:, c], len(used)), n), BUCKETS)
+                for w, grad, square in ((self.w, g, gw), (self.trans, d_trans, gt), (self.start, d_start, gs)):
                     square += grad * grad
-                    w += rate * grad / np.sqrt(square)
-                self.w[BUCKETS] = 0
+                    w += 0.1 * grad / np.sqrt(square)
         return self
 
 
-def _predict(model: Model):
+def _predict(model: Model, of):
+    """The columns of a batch with lang_pred and score after them; of(batch) is its texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         table = np.zeros((0, len(model.languages)), np.float32)
         for b in batches:
-            for x in slices(b, "text", 2 << 20):
-                tokens = [(t or "").lower().split() for t in x.column("text").to_pylist()]
-                used = set().union(*tokens)
+            b = b.append_column("\0text", of(b))
+            for x in slices(b, "\0text", SLICE):
+                split = [tokens(t or "") for t in x.column("\0text").to_pylist()]
+                used = set().union(*split)
                 new = list(used - memo.keys())
                 if len(memo) + len(new) > MEMO:
                     memo, table, new = {}, table[:0], list(used)
@@ -162,42 +209,50 @@ def _predict(model: Model):
                     at = [i for i, w in enumerate(bare) if w]
                     rows = np.zeros((len(at), table.shape[1]), np.float32)
                     for lo in range(0, len(at), 4096):
-                        rows[lo : lo + 4096] = model.w[word_features([bare[i] for i in at[lo : lo + 4096]])].sum(axis=1)
+                        rows[lo : lo + 4096] = emissions(model.w, *word_features([bare[i] for i in at[lo : lo + 4096]]))
                     memo.update((w, -1) for w, y in zip(new, bare, strict=True) if not y)
                     memo.update((new[i], len(table) + k) for k, i in enumerate(at))
                     table = np.concatenate([table, rows])
                 get = memo.__getitem__
-                index = [np.fromiter(map(get, t), np.int64, len(t)) for t in tokens]
-                del tokens
+                index = [np.fromiter(map(get, t), np.int64, len(t)) for t in split]
+                del split
                 index = [i[i >= 0] for i in index]
                 first = np.cumsum([0, *map(len, index)])
-                p = sums(first, table[np.concatenate(index)], model.trans, model.start) if first[-1] else np.zeros((0, table.shape[1]))
+                p = sums(first, table[np.concatenate(index)], model.trans, model.start)[0] if first[-1] else np.zeros((0, table.shape[1]))
                 c = np.zeros((len(p) + 1, table.shape[1]))
                 np.cumsum(p, axis=0, out=c[1:])
                 total = c[first[1:]] - c[first[:-1]]
                 n = np.diff(first)
-                best = total.argmax(axis=1) if total.shape[1] else np.zeros(len(n), int)
+                best = total.argmax(axis=1)
                 lang = [model.languages[k] if m else "und" for k, m in zip(best.tolist(), n.tolist(), strict=True)]
-                score = np.where(n > 0, total[np.arange(len(n)), best] / np.maximum(n, 1), 0.0) if total.shape[1] else np.zeros(len(n))
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(lang), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
+                score = np.where(n > 0, total[np.arange(len(n)), best] / np.maximum(n, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(lang), pa.array(np.clip(score, 0, 1))], [*x.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the languages in docs (text, lang), outside the held-out fold."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(4) != 2))
-    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    texts = [(r["text"], lang) for lang, n in counts for r in by_text_hash(rows.where((F.col("lang") == lang) & (F.length("text") < 20_000)).select("text"), per_language, n).collect()]
-    texts.sort(key=lambda x: (x[1], x[0]))
-    return Model([lang for lang, _ in counts]).fit([t for t, _ in texts], [lang for _, lang in texts])
+    """A model of the languages in docs (doc_id, text, lang), outside the held-out fold."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(4) != 2)).select("lang", "text")
+    texts = sorted((r["lang"], r["text"]) for r in by_group(rows, "lang", per_language, TEXTS).collect())
+    return Model(sorted({lang for lang, _ in texts})).fit([t for _, t in texts], [lang for lang, _ in texts])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score for each row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
     if not model.languages:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(tidied(_predict(model, lambda b: b.column("text"))), "doc_id long, text string, lang_pred string, score double").drop("text")
+
+
+def identify_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """doc (each row of docs, whole, as a struct), lang_pred and score: no join is needed to keep or drop rows."""
+    rows = docs.select(F.struct("*").alias("doc"))
+    if not model.languages:
+        return rows.select("doc", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    out = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(tidied(_predict(model, lambda b: b.column("doc").field("text"))), out)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,15 +36,58 @@ def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(1)
     first, k = np.array([0, 4, 4, 5, 7]), 3
     e, t, s = rng.normal(size=(7, k)), rng.normal(size=(k, k)), rng.normal(size=k)
-    got = language_id.sums(first, e, t, s)
+    got, pairs = language_id.sums(first, e, t, s)
+    expected = np.zeros((k, k))
     for a, b in zip(first[:-1], first[1:], strict=True):
-        want = np.zeros((b - a, k))
+        want, both = np.zeros((b - a, k)), np.zeros((k, k))
         for path in itertools.product(range(k), repeat=int(b - a)):
             w = np.exp(sum(e[a + i, x] for i, x in enumerate(path)) + sum(t[x, y] for x, y in zip(path, path[1:], strict=False)) + (s[path[0]] if path else 0))
             for i, x in enumerate(path):
                 want[i, x] += w
+            for x, y in zip(path, path[1:], strict=False):
+                both[x, y] += w
         if b > a:
             assert np.allclose(got[a:b], want / want.sum(axis=1, keepdims=True))
+            expected += both / want[0].sum()
+    assert np.allclose(pairs, expected)
+
+
+def test_language_gradient_by_finite_differences():
+    rng = np.random.default_rng(4)
+    first, k = np.array([0, 5, 6, 6, 9]), 3
+    e, t, s, gold = rng.normal(size=(9, k)), rng.normal(size=(k, k)), rng.normal(size=k), rng.integers(0, k, 9)
+
+    def like(e, t, s):
+        total = 0.0
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            score = lambda p: s[p[0]] + sum(e[a + i, x] for i, x in enumerate(p)) + sum(t[x, y] for x, y in zip(p, p[1:], strict=False))  # noqa: B023, E731
+            if b > a:
+                total += score(gold[a:b].tolist()) - np.logaddexp.reduce([score(p) for p in itertools.product(range(k), repeat=int(b - a))])
+        return total
+
+    for n, got in enumerate(language_id.gradient(first, e, gold, t, s)):
+        for at in np.ndindex(got.shape):
+            moved = [x.copy() for x in (e, t, s)]
+            moved[n][at] += 1e-5
+            up = like(*moved)
+            moved[n][at] -= 2e-5
+            assert got[at] == pytest.approx((up - like(*moved)) / 2e-5, abs=1e-5)
+
+
+def test_word_features_read_whole_words():
+    def of(*words):
+        first, f = language_id.word_features(list(words))
+        return [sorted(f[i:j].tolist()) for i, j in zip(first[:-1], first[1:], strict=True)]
+
+    a, b = of("x" * 40 + "a", "x" * 40 + "b")
+    assert a != b and len(a) == 1 + 6 + 40 + 39 and of("ab", "é", "x" * 40 + "a")[2] == a
+    assert language_id.tokens("Hello 世界你好吗 x") == ["hello", "世界你好", "吗", "x"]
+
+
+def test_every_language_is_learned(spark, words):
+    rows = [(i, f"w{i % 70}x{chr(97 + i % 26)} " * 30, f"l{i % 70:02}") for i in range(420)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 70
 
 
 def test_code_switching_follows_words():
@@ -52,7 +95,7 @@ def test_code_switching_follows_words():
     a, b = ["der", "und", "nicht", "schön", "keit"], ["the", "and", "not", "thing", "with"]
     m = language_id.Model(["de", "en"]).fit([" ".join(rng.choice(a, 60)) for _ in range(20)] + [" ".join(rng.choice(b, 60)) for _ in range(20)], ["de"] * 20 + ["en"] * 20)
     words = ["der", "und", "nicht", "keit", "the", "and", "with", "not"]
-    p = language_id.sums(np.array([0, 8]), m.w[language_id.word_features(words)].sum(axis=1), m.trans, m.start)
+    p = language_id.sums(np.array([0, 8]), language_id.emissions(m.w, *language_id.word_features(words)), m.trans, m.start)[0]
     assert p[:4, 0].min() > 0.8 and p[4:, 1].min() > 0.8
 
 
