@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python task holds as 64-bit arrays at once.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: ASCII white space of the contracts: x20 and x09 to x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -68,11 +70,28 @@ def hot_keys(df: DataFrame, col: str, least: int, tracked: int = 20_000) -> list
     return [x["item"] for x in (row["top"] or []) if x["item"] is not None and x["count"] > least]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch's edges as stars around the smallest id of each of its components: fewer rounds, the same components."""
+#: Edges that a task contracts at once.
+EDGES = 500_000
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of `most` rows or a little more."""
+    held, n = [], 0
     for b in batches:
-        ids, at = np.unique(np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()]), return_inverse=True)
-        x, y = at[: b.num_rows], at[b.num_rows :]
+        held.append(b)
+        n += b.num_rows
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of up to `EDGES` rows as stars around the smallest id of each of their components: fewer rounds, the same components."""
+    for part in gathered(batches, EDGES):
+        ids, at = np.unique(np.concatenate([x.column(c).to_numpy() for c in (0, 1) for x in part]), return_inverse=True)
+        x, y = at[: len(at) // 2], at[len(at) // 2 :]
         root = np.arange(len(ids))
         while True:
             low = np.minimum(root[x], root[y])
@@ -95,7 +114,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps on staged tables until nothing changes. Minima are
     combined before they are sent; a hub's neighbours are rows of its join, which Spark splits where skewed.
     """
-    e = stage(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    e = stage(in_arrow(edges.where("a <> b").select("a", "b"), _contract, "u long, v long").distinct(), "edges")
     before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -165,7 +184,7 @@ class Words:
     """The words of some texts as flat arrays: hash, byte range, and first[i]:first[i + 1] of text i."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = texts.cast(pa.large_string())
+        texts = texts.cast(pa.large_binary())
         off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
         buf = texts.buffers()[2] if len(texts) else None
         raw = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
@@ -221,6 +240,17 @@ def tidied(f):
     return run
 
 
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches of bounded size, since JVM and worker hold a batch each, next to the heap; f's memory is given back.
+
+    The session's own limits stay where they are lower.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(tidied(f), schema)
+
+
 def filled(col: pa.Array) -> pa.Array:
     import pyarrow.compute as pc
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import Words, components, filled, load, mix, slices, stage, tidied
+from lumenlog.llm.common import Words, components, filled, in_arrow, load, mix, slices, stage
 
 #: Sets and shingles of a block's chunk; sets of a group of the matrix, and cells of it at once.
 CHUNK, CHUNK_SHINGLES, GROUP, CELLS = 3000, 500_000, 64, 4_000_000
@@ -343,7 +343,7 @@ def _across(bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     # every set out of the block's largest component visits where a set of another component has a signature of it
     main = known.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     known = stage(_looked_up(known, main, "block"), "known")
-    signed = stage(known.select("rep", "n", "block", "chunk", "root", "main", "tokens").mapInArrow(tidied(_resign(percent)), "rep long, block long, chunk int, root long, main long, sig long"), "signed")
+    signed = stage(in_arrow(known.select("rep", "n", "block", "chunk", "root", "main", "tokens"), _resign(percent), "rep long, block long, chunk int, root long, main long, sig long"), "signed")
     targets = signed.groupBy("sig", "block", F.col("chunk").alias("to")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
     visits = signed.where("root <> main").join(targets, ["sig", "block"]).where("chunk <> to and (low <> root or high <> root)").select("rep", "block", F.col("to").alias("chunk")).distinct()
     visits = stage(visits.join(known.select("rep", "block", "root", "n", "tokens"), ["rep", "block"]), "visits")
@@ -362,8 +362,8 @@ def _across(bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    ids = stage(docs.mapInArrow(tidied(_identify(k, percent)), "doc_id long, n_shingles long, set1 long, set2 long, cls int"), "sets")
-    signed = docs.mapInArrow(tidied(_sign(k, percent)), "sig long, set1 long, n int, cls int")
+    ids = stage(in_arrow(docs, _identify(k, percent), "doc_id long, n_shingles long, set1 long, set2 long, cls int"), "sets")
+    signed = in_arrow(docs, _sign(k, percent), "sig long, set1 long, n int, cls int")
     # sets that share a signature: each next to its neighbour by size, if that can link
     w = Window.partitionBy("sig").orderBy("n", "set1")
     near = signed.withColumn("p", F.lag("set1").over(w)).withColumn("pn", F.lag("n").over(w))
@@ -372,7 +372,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     one = stage(ids.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("cls").alias("cls")).where("rep is not null"), "classes")
     members = one.withColumn("node", F.explode(F.array(_node("set1", F.col("cls")), _node("set1", F.col("cls") + 1)))).join(blocks, "node").select("rep", "set1", "n", "block")
     placed = stage(_chunked(members, 3).select(F.col("rep").alias("doc_id"), "set1", "block", "chunk", "chunks"), "placed")
-    bodies = stage(docs.join(placed.hint("shuffle_hash"), "doc_id").mapInArrow(tidied(_bodies(k)), "rep long, block long, chunk int, chunks int, n int, tokens binary"), "bodies")
+    bodies = stage(in_arrow(docs.join(placed.hint("shuffle_hash"), "doc_id"), _bodies(k), "rep long, block long, chunk int, chunks int, n int, tokens binary"), "bodies")
     links = stage(bodies.select("block", "chunk", "rep", "tokens").groupBy("block", "chunk").applyInArrow(_open(percent), "a long, b long"), "links")
     roots = stage(components(links), "roots")
     several = bodies.where("chunks > 1")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlog.llm.common import load, mix, slices, tidied
+from lumenlog.llm.common import in_arrow, load, mix, slices
 from lumenlog.llm.sampling import by_group, fold
 
 #: Texts of a language that training is to read, and texts of all languages at which each gets fewer.
@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select("doc_id", "text")
     if not model.languages:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return docs.mapInArrow(tidied(_predict(model, lambda b: b.column("text"))), "doc_id long, text string, lang_pred string, score double").drop("text")
+    return in_arrow(docs, _predict(model, lambda b: b.column("text")), "doc_id long, text string, lang_pred string, score double").drop("text")
 
 
 def identify_rows(docs: DataFrame, model: Model) -> DataFrame:
@@ -252,7 +252,7 @@ def identify_rows(docs: DataFrame, model: Model) -> DataFrame:
     if not model.languages:
         return rows.select("doc", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     out = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(tidied(_predict(model, lambda b: b.column("doc").field("text"))), out)
+    return in_arrow(rows, _predict(model, lambda b: b.column("doc").field("text")), out)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import load, stage
+from lumenlog.llm.common import in_arrow, load, slices, stage
 
 SIZE = 2048
 #: Distinct strings between white space whose ids a Python worker remembers; a full memo keeps its first half.
@@ -63,8 +63,9 @@ def _tokenizer(path: str):
             part = words[at : at + 2048]
             ids = np.array(plain.encode(" ".join(part).encode().decode("latin-1").translate(letter), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(last[ids]) + 1  # a word's last token is marked as such
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer split a word")
+            if len(ends) != len(part):  # a word came apart in this form: these go through the tokenizer as they are
+                yield from ((w, np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
+                continue
             raw = ids.tobytes()
             yield from zip(part, [raw[4 * i : 4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True)
 
@@ -115,8 +116,7 @@ def _pieces(size: int, path: str):
 
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                x = b.slice(at, 256)
+            for x in slices(b, "text"):
                 out: list[tuple] = []
                 for doc, ids in zip(x.column("doc_id").to_pylist(), ids_of([t or "" for t in x.column("text").to_pylist()], path), strict=True):
                     raw = ids + b"\0\0\0\0"
@@ -211,12 +211,12 @@ def _deal(bins: list[tuple[int, tuple[int, ...]]], size: int):
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for each piece of docs (doc_id, text)."""
-    pieces = stage(docs.select("doc_id", "text").mapInArrow(_pieces(size, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"), "pieces")
+    pieces = stage(in_arrow(docs.select("doc_id", "text"), _pieces(size, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"), "pieces")
     held = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = held.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("task", "length", "before")
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_deal(plan(counts, size), size), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_arrow(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), _deal(plan(counts, size), size), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

@@ -7,8 +7,13 @@ checksum, context word), and a bounded dynamic program over segment ends chooses
 kinds together. Spans that touch no base span are added, so that written-around forms such as
 "jo at mail dot org" or a card with dots are found too.
 
-Weights are learned from at most 2 x `SAMPLE` texts, chosen by a hash: their base spans are positive segments, once as
-they are and once written around, and all other tokens are outside. No outside labels are used.
+Weights are learned from at most 2 x `SAMPLE` texts with three digits in a row and at most
+`sampling.LONGEST` characters, chosen by a hash: their base spans are positive segments, once as they
+are and once written around, and all other tokens are outside. No outside labels are used. The
+sample is all that is bounded so; every text is searched, whole.
+
+A segment ends after `LONGEST` tokens, which is more than the longest form that `candidates` takes:
+an address of nine dotted parts, with a bracketed connector counting as one token.
 
 Null and empty texts have no spans. Repeated rows are treated alike. Other columns are ignored.
 """
@@ -26,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import load
+from lumenlog.llm.common import in_arrow, load, slices
+from lumenlog.llm.sampling import LONGEST as LONGEST_TEXT
 from lumenlog.llm.sampling import by_text_hash
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that training may read, tokens of a segment, buckets of hashed features.
-SAMPLE, LONGEST, BUCKETS = 400, 14, 1 << 12
+SAMPLE, LONGEST, BUCKETS = 400, 20, 1 << 12
 
 # The contract's patterns. A digit run can't begin a match in its middle that it didn't begin at its start, so that one look behind keeps them linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){2}\.[0-9]+")
@@ -78,32 +84,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- sites: the stretches of text that the field reads ------------------------
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-_SEED = re.compile(r"[0-9@]|(?i:(?<= )[\[(]?(?:at|arroba)[\])]? [a-z0-9-]+ [\[(]?dot[\])]? )")
+_TOKEN = re.compile(r"(?i:[\[(](?:at|arroba|dot|punto)[\])])|[^\W\d_]+|[0-9]+|[^\s]")
+_SEED = re.compile(r"[0-9@]|(?i:(?<= )[\[(]?(?:at|arroba)[\])]? [a-z0-9-]+ [\[(]?(?:dot|punto)[\])]? )")
+#: What may go on around a seed: runs of letters, digits and marks, and spelt-out connectors with a space on each side.
+_ON = re.compile(r"(?i:\S*(?: [\[(]?(?:at|arroba|dot|punto)[\])]? \S+)*)")
+_BACK = re.compile(r"(?i:(?:\S+ [\])]?(?:ta|aborra|tod|otnup)[\[(]? )*\S*)")
+
 
+def sites(text: str, around: int = 24, most: int = 512) -> Iterator[tuple[int, int]]:
+    """Stretches around digits, @ and "at ... dot", merged where they meet.
 
-def sites(text: str, around: int = 24) -> Iterator[tuple[int, int]]:
-    """Stretches around digits, @ and "at ... dot", merged where they meet."""
+    A stretch holds `around` characters on each side, and goes on, to `most` of them, while a word or a
+    spelt-out address does.
+    """
     lo = hi = -1
     for m in _SEED.finditer(text):
+        if m.end() + around <= hi:
+            continue
         a, b = max(0, m.start() - around), min(len(text), m.end() + around)
+        if a > hi:
+            a -= _BACK.match(text[max(0, a - most) : a + 1][::-1]).end() - 1 if a and not text[a].isspace() else 0
+        b += _ON.match(text[b - 1 : b + most]).end() - 1 if not text[b - 1].isspace() else 0
         if a <= hi:
-            hi = b
+            hi = max(hi, b)
         else:
             if hi > 0:
                 yield lo, hi
-            lo, hi = a, b
+            lo, hi = max(0, a), b
     if hi > 0:
         yield lo, hi
 
 
+def _bare(word: str) -> str:
+    """A token in lower case; a bracketed connector without its brackets."""
+    return word.strip("[]()").lower() if len(word) > 1 else word.lower()
+
+
 def _shape(words: list[str]) -> str:
     out = []
     for w in words:
         if w.isdigit():
             out.append("9" if len(w) == 1 else f"9{min(len(w), 9)}")
-        elif w.isalpha():
-            low = w.lower()
+        elif w.isalpha() or len(w) > 1:
+            low = _bare(w)
             out.append(low if low in ("at", "dot", "arroba", "punto", "point", "punkt") else "a")
         else:
             out.append(w)
@@ -116,13 +139,13 @@ def candidates(words: list[str], i: int, j: int) -> list[int]:
     digits = "".join(w for w in words[i:j] if w.isdigit())
     kinds = []
     if first[0].isalnum() and last[0].isalnum():
-        low = [w.lower() for w in words[i:j]]
+        low = [_bare(w) for w in words[i:j]]
         if ("@" in low or "at" in low or "arroba" in low) and ("." in low or "dot" in low or "punto" in low) and 5 <= j - i:
             kinds.append(0)
         parts = [w for w in words[i:j] if w.isdigit()]
-        if len(parts) == 4 and j - i >= 7 and not any(w.isalpha() and w.lower() != "dot" for w in words[i:j]) and all(len(p) <= 3 and int(p) <= 255 for p in parts):
+        if len(parts) == 4 and j - i >= 7 and not any((w.isalpha() or len(w) > 1 and not w.isdigit()) and _bare(w) != "dot" for w in words[i:j]) and all(len(p) <= 3 and int(p) <= 255 for p in parts):
             kinds.append(1)
-        if first.isdigit() and last.isdigit() and 14 <= len(digits) <= 19 and not any(w.isalpha() for w in words[i:j]) and luhn(digits):
+        if first.isdigit() and last.isdigit() and 14 <= len(digits) <= 19 and not any(w.isalpha() or len(w) > 1 and not w.isdigit() for w in words[i:j]) and luhn(digits):
             kinds.append(2)
     groups = [len(w) for w in words[i:j] if w.isdigit()]
     if (first in "+(" or groups[-3:] == [3, 3, 4] and len(groups) <= 4) and last.isdigit() and 10 <= len(digits) <= 15 and j - i >= 3 and not any(w.isalpha() or w not in "+().-/" and not w.isdigit() for w in words[i:j]):
@@ -258,7 +281,7 @@ def all_spans(text: str, w: np.ndarray) -> tuple[list, list]:
 
 def _find(w: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text")):
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 base, every = all_spans(text, w) if text else ([], [])
@@ -271,9 +294,9 @@ def _find(w: np.ndarray):
 
 def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, counts of base spans by kind, base and all spans as kind:start:end lists for each row of docs."""
-    rows = docs.where(F.col("text").rlike("[0-9]{3}") & (F.length("text") < 20_000)).select("text")
+    rows = docs.where(F.col("text").rlike("[0-9]{3}") & (F.length("text") <= LONGEST_TEXT)).select("text")
     weights = train(sorted(r["text"] for r in by_text_hash(rows, sample, rows.count()).collect()))  # at most 2 x sample
-    return docs.select("doc_id", "text").mapInArrow(_find(weights), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return in_arrow(docs.select("doc_id", "text"), _find(weights), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Operator 9, quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics are counted in numpy over a batch's bytes and words. Trees are grown level by level on
-histograms of binned statistics and kept as flat arrays (statistic, threshold, left child), which
-all rows of a batch walk together.
+histograms of binned statistics and kept as flat arrays (statistic, threshold, value) of complete
+trees, node i with children 2 i + 1 and 2 i + 2, which all rows of a batch walk together.
 
 Training takes at most 2 x `SAMPLE` labelled texts outside the held-out fold, chosen by hashes, and
 moves only their statistics to the driver. Null and empty texts have zero statistics and get a
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import Words, filled, load, slices
+from lumenlog.llm.common import Words, filled, in_arrow, load, slices
 from lumenlog.llm.sampling import fold, labelled
 
 SAMPLE, TREES, DEPTH, BINS, RATE = 8000, 60, 4, 64, 0.15
@@ -156,7 +156,7 @@ def _score(model: Trees):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    rows = labelled(docs, labels, "quality", 3, 1, sample).mapInArrow(_measure, "y int, stats array<float>").collect()  # at most 2 x sample
+    rows = in_arrow(labelled(docs, labels, "quality", 3, 1, sample), _measure, "y int, stats array<float>").collect()  # at most 2 x sample
     rows.sort(key=lambda r: (r["y"], r["stats"]))
     x = np.array([r["stats"] for r in rows], np.float32).reshape(len(rows), N_STATS)
     return Trees().fit(x, np.array([r["y"] for r in rows], np.float64))
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
     """doc_id and score (0 to 1, higher: better) for each row of docs (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    return in_arrow(docs.select("doc_id", "text"), _score(model), "doc_id long, score double")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,19 +3,25 @@
 A window is `width` consecutive words of one text. Words that lie in a window whose sequence also
 starts elsewhere are removed. The steps:
 
-1. *Prefix counting.* Each window has one anchor, the smallest hashed `PREFIX`-gram in it, so that
-   equal windows have equal anchors. A run of windows with one anchor is a row (prefix, context):
-   the prefix is the anchor's gram, the context all words that the run's windows cover. A prefix
-   that occurs once can't start a repeat; its suffixes go no further.
-2. *Whole contexts.* Rows with the same prefix and context repeat as they are: all their windows go.
-3. *Subtrees.* What is left are prefixes with different contexts, one row per context. Their window
-   starts become suffixes, each written as the labels of its path down the tree: hashes of its words
-   up to depths 12, 20 and `width`. Groups of suffixes share a prefix of 12, 20 or all words, as long
-   as it takes to fit a task. Within a task the sorted paths and the depths that neighbours share are
-   the subtree; leaves under an internal node at depth `width` repeat.
+1. *Prefixes.* Each window has one anchor, the smallest hashed `PREFIX`-gram in it, so that equal
+   windows have equal anchors. A run of windows with one anchor is a row (prefix, context): the
+   prefix is the anchor's gram, the context all words that the run's windows cover. A prefix that
+   occurs once can't start a repeat; its suffixes go no further.
+2. *Slices.* Each distinct context is sent once, as words, to the group of its prefix, with the
+   number of times it occurs. All groups are small enough for a task: a prefix with more than
+   `CONTEXTS` contexts is lengthened to the whole window, `width` words from each start.
+3. *Subtrees.* A group's suffixes, all window starts of its slices, are sorted by their words, and
+   the words that neighbours share are the depths of the internal nodes above them: a suffix array
+   with common prefixes, which is the subtree. A suffix under an internal node at depth `width` or
+   more, or that stands for several, repeats down to the deepest such node; those words go. The
+   subtree of a lengthened prefix begins at depth `width`, so it repeats where it has two suffixes.
+4. The ranges found in a context are cut wherever it occurs.
 
 Nulls, empty and short texts have no window and keep all their words. Repeated rows are separate
-occurrences. Other columns are ignored. Word and window identity is by 64- and 128-bit hashes.
+occurrences. A row without doc_id keeps its words and counts for none; where rows of one doc_id
+differ in text, what is cut from one is cut from the other's same places. Other columns are ignored.
+Words are compared as they are within groups; contexts are identified by 128 bits of hash, and so
+are the windows of lengthened prefixes.
 """
 
 from __future__ import annotations
@@ -27,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import Words, _powers, _WBASE, filled, hot_keys, load, mix, slices, stage
+from lumenlog.llm.common import Words, _powers, _WBASE, filled, hot_keys, in_arrow, load, mix, slices, stage
 
 WIDTH, PREFIX = 35, 10
-#: Depths at which paths have labels besides the last, and the suffixes that a task's share should not exceed.
-DEPTHS, GROUP = (12, 20), 250_000
+#: Distinct contexts of a prefix up to which it has one group, and bytes of slices whose subtrees a task grows at once.
+CONTEXTS, HELD = 10_000, 2 << 20
 
 
 def runs(w: Words, width: int, k: int) -> tuple[np.ndarray, ...]:
@@ -74,90 +80,179 @@ def _anchors(width: int, k: int):
     return run
 
 
-def _suffixes(width: int):
-    """Suffixes at the window starts of the listed runs: the labels of their paths, and where they start."""
+def _listed(x: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray]:
+    """The row of each listed run, and the runs."""
+    runs_ = x.column("runs")
+    return np.repeat(np.arange(x.num_rows), np.asarray(runs_.value_lengths())), runs_.flatten()
+
+
+def _slices(width: int):
+    """The words of the listed runs' contexts, as one piece of text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in slices(b, "text"):
                 w = Words(filled(x.column("text")))
-                rows = [(i, r["lo"], r["more"] + 1) for i, held in enumerate(x.column("runs").to_pylist()) for r in held]
-                i, lo, n = np.array(rows, np.int64).reshape(-1, 3).T
-                text = np.repeat(i, n)
-                start = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                pos = start + w.first[text]
-                paths = [w.grams(d)[pos] for d in (*DEPTHS, width)]
-                paths.append(w.grams(width, 9)[pos])  # depth `width` has 128 bits
-                yield pa.RecordBatch.from_arrays([*(pa.array(p.view(np.int64)) for p in paths), x.column("doc_id").take(pa.array(text)), pa.array(start.astype(np.int32))], ["p0", "p1", "p2", "p3", "doc_id", "start"])
+                row, r = _listed(x)
+                lo, more = (r.field(c).to_numpy().astype(np.int64) for c in ("lo", "more"))
+                ok = np.flatnonzero(w.first[row] + lo + more + width <= w.first[row + 1])  # of another text by that doc_id, if not
+                first = w.first[row[ok]] + lo[ok]
+                raw = w.raw.tobytes()
+                cut = [raw[i:j] for i, j in zip(w.start[first].tolist(), w.end[first + more[ok] + width - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(r.field(c).take(pa.array(ok)) for c in ("prefix", "context", "many")), pa.array(cut, pa.binary())], ["prefix", "context", "many", "words"])
 
     return run
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves under internal nodes at full depth, for the suffixes of a task's groups."""
-    t = pa.Table.from_batches(list(batches), pa.schema([("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())]))
-    if t.num_rows < 2:
-        return
-    path = np.stack([t.column(c).to_numpy() for c in ("p0", "p1", "p2", "p3")])
-    order = np.lexsort(path[::-1])
-    path = path[:, order]
-    common = np.cumprod(path[:, 1:] == path[:, :-1], axis=0, dtype=np.int8).sum(axis=0)  # levels that neighbours share: the depth of the node above both
-    leaf = np.zeros(len(order), bool)
-    leaf[1:] |= common == 4
-    leaf[:-1] |= common == 4
-    yield from t.select(["doc_id", "start"]).take(pa.array(order[leaf])).combine_chunks().to_batches()
+def _windows(width: int):
+    """The windows of listed runs, by 128 bits of hash of all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in slices(b, "words"):
+                w = Words(x.column("words").cast(pa.large_binary()))
+                n = np.maximum(np.diff(w.first) - width + 1, 0)
+                row = np.repeat(np.arange(x.num_rows), n)
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pos = w.first[row] + at
+                h = [w.grams(width, seed)[pos].view(np.int64) for seed in (2, 9)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, h), *(x.column(c).take(pa.array(row)) for c in ("prefix", "context", "many")), pa.array(at.astype(np.int16))], ["w1", "w2", "prefix", "context", "many", "at"])
+
+    return run
+
+
+def _ranks(label: np.ndarray, end: np.ndarray, most: int) -> list[np.ndarray]:
+    """Ranks of the 1, 2, 4, ... words from each place on (fewer at its slice's end), in their order."""
+    at = np.arange(len(label))
+    out, h = [label + 1], 1
+    while h < most:
+        low = out[-1]
+        nxt = np.where(at + h < end, low[np.minimum(at + h, len(low) - 1)], 0)
+        out.append(np.unique(low * (int(low.max()) + 1) + nxt, return_inverse=True)[1] + 1)
+        h *= 2
+    return out
+
+
+def subtree(group: np.ndarray, many: np.ndarray, words: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix place, its slice, depth) of all suffixes of at least `width` words, over the slices' words end to end.
+
+    depth: how many words the suffix shares down to the deepest internal node above it within its group.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    flat = [x for w in words for x in w]
+    number = {x: i for i, x in enumerate(set(flat))}
+    label = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    stop = np.cumsum(size)
+    owner = np.repeat(np.arange(len(size)), size)
+    end = stop[owner]
+    ranks = _ranks(label, end, int(size.max()))
+    place = np.flatnonzero(end - np.arange(len(flat)) >= width)
+    order = place[np.lexsort((ranks[-1][place], group[owner[place]]))]  # the leaves from left to right
+    left, right = order[:-1].copy(), order[1:].copy()
+    same = group[owner[left]] == group[owner[right]]
+    shared = np.zeros(len(left), np.int64)
+    for level in range(len(ranks) - 1, -1, -1):  # the depth of the node above two neighbours
+        h = 1 << level
+        go = same & (left + h <= end[order[:-1]]) & (right + h <= end[order[1:]])
+        go[go] = ranks[level][left[go]] == ranks[level][right[go]]
+        shared[go] += h
+        left[go] += h
+        right[go] += h
+    depth = np.maximum(np.append(0, shared), np.append(shared, 0)) if len(order) else np.zeros(0, np.int64)
+    own = owner[order]
+    return order, own, np.where(many[own], end[order] - order, depth)
+
 
+def _grown(rows: pa.Table, width: int) -> pa.RecordBatch:
+    """Ranges of words of the slices that lie under nodes at depth `width` and more."""
+    prefix = rows.column("prefix").to_numpy()
+    words = [x.split() for x in rows.column("words").to_pylist()]
+    place, own, depth = subtree(np.append(0, np.cumsum(prefix[1:] != prefix[:-1])), rows.column("many").to_numpy(), words, width)
+    begin = np.append(0, np.cumsum([len(w) for w in words]))
+    cover = np.zeros(begin[-1] + 1, np.int64)
+    deep = depth >= width
+    np.add.at(cover, place[deep], 1)
+    np.add.at(cover, place[deep] + depth[deep], -1)
+    gone = np.cumsum(cover)[:-1] > 0
+    edge = np.append(True, gone[1:] != gone[:-1])
+    edge[begin[:-1]] = True
+    at = np.flatnonzero(edge)
+    lo, hi = at[gone[at]], np.append(at[1:], len(gone))[gone[at]]
+    who = np.searchsorted(begin, lo, "right") - 1
+    found = [rows.column(c).take(pa.array(who)).combine_chunks() for c in ("prefix", "context")]
+    return pa.RecordBatch.from_arrays([*found, *(pa.array((x - begin[who]).astype(np.int32)) for x in (lo, hi))], ["prefix", "context", "from", "to"])
 
-def repeats(docs: DataFrame, width: int = WIDTH, k: int = PREFIX) -> DataFrame:
+
+def _subtrees(width: int):
+    """Ranges for slices that come by prefix, some groups at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.column("words").nbytes < HELD:
+                continue
+            prefix = held.column("prefix").to_numpy()
+            whole = int(np.flatnonzero(prefix != prefix[-1])[-1]) + 1 if prefix[0] != prefix[-1] else 0
+            if whole:  # the last group may go on
+                yield _grown(held.slice(0, whole), width)
+                held = held.slice(whole).combine_chunks()
+        if held is not None and held.num_rows:
+            yield _grown(held, width)
+
+    return run
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, k: int = PREFIX, most: int = CONTEXTS) -> DataFrame:
     """Ranges of words (doc_id, lo, hi) of docs (doc_id, text) whose windows occur elsewhere as well."""
-    spark = docs.sparkSession
-    anchors = docs.select("doc_id", "text").mapInArrow(_anchors(width, k), "prefix long, context long, doc_id long, lo int, more short")  # cheaper to make twice than to keep
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    anchors = in_arrow(docs, _anchors(width, k), "prefix long, context long, doc_id long, lo int, more short")  # cheaper to make twice than to keep
     hot = hot_keys(anchors, "prefix", 50_000)
     few = ~F.col("prefix").isin(hot) if hot else F.lit(True)
     by, ctx = Window.partitionBy("prefix"), Window.partitionBy("prefix", "context")
+    columns = ["prefix", "context", "doc_id", "lo", "more", (F.col("n") > 1).alias("many"), (F.col("contexts") > most).alias("wide"), "nth"]
     cold = (
         anchors.where(few)
         .withColumn("n", F.count("*").over(ctx))
-        .withColumn("mixed", F.min("context").over(by) != F.max("context").over(by))
-        .where("n > 1 or mixed")
         .withColumn("nth", F.row_number().over(ctx.orderBy("context")))
-        .select("prefix", "context", "doc_id", "lo", "more", "n", "mixed", "nth")
+        .withColumn("contexts", F.sum((F.col("nth") == 1).cast("long")).over(by))
+        .where("n > 1 or contexts > 1")
+        .select(*columns)
     )
     found = [cold]
     if hot:  # prefixes of a large part of the corpus are counted by partial sums and never meet in one task
         held = anchors.where(F.col("prefix").isin(hot))
         each = held.groupBy("prefix", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("least"))
-        mixed = F.broadcast(each.groupBy("prefix").agg((F.min("context") != F.max("context")).alias("mixed")))  # at most 500 rows
-        each = stage(each.join(mixed, "prefix").where("n > 1 or mixed"), "contexts")
-        found.append(held.join(each, ["prefix", "context"]).select("prefix", "context", "doc_id", "lo", "more", "n", "mixed", F.when((F.col("doc_id") == F.col("least.doc_id")) & (F.col("lo") == F.col("least.lo")), 1).otherwise(2).alias("nth")))
+        contexts = F.broadcast(each.groupBy("prefix").agg(F.count("*").alias("contexts")))  # at most 500 rows
+        each = stage(each.join(contexts, "prefix").where("n > 1 or contexts > 1"), "contexts")
+        nth = F.when((F.col("doc_id") == F.col("least.doc_id")) & (F.col("lo") == F.col("least.lo")), 1).otherwise(2).alias("nth")
+        found.append(held.join(each, ["prefix", "context"]).withColumn("nth", nth).select(*columns))
     seen = stage(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "runs")
-    whole = seen.where("n > 1").select("doc_id", "lo", (F.col("lo") + F.col("more") + width).cast("int").alias("hi"))
-    per_doc = seen.where("mixed and nth = 1").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "more")).alias("runs"))
-    suffixes = stage(docs.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(_suffixes(width), "p0 long, p1 long, p2 long, p3 long, doc_id long, start int"), "suffixes")
-    total = suffixes.count()
-    long0 = hot_keys(suffixes, "p0", GROUP)
-    long1 = hot_keys(suffixes.where(F.col("p0").isin(long0)), "p1", GROUP) if long0 else []
-    same = hot_keys(suffixes.where(F.col("p1").isin(long1)), "p2", GROUP) if long1 else []
-    key = F.col("p0")
-    if long0:
-        key = F.when(~F.col("p0").isin(long0), F.col("p0")).otherwise(F.when(~F.col("p1").isin(long1), F.col("p1")).otherwise(F.col("p2")) if long1 else F.col("p1"))
-    tree = suffixes.where(~F.col("p2").isin(same)) if same else suffixes
-    leaves = tree.repartition(max(1, total // GROUP + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), key).mapInArrow(_subtrees, "doc_id long, start int")
-    if same:  # suffixes equal over all words, thousands of times: their node is as deep as asked for
-        leaves = leaves.union(suffixes.where(F.col("p2").isin(same)).select("doc_id", "start"))
-    return whole.union(leaves.select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi")))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        per_doc = rows.where("nth = 1").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "more", "prefix", "context", "many")).alias("runs"))
+        return in_arrow(docs.join(per_doc.hint("shuffle_hash"), "doc_id"), _slices(width), "prefix long, context long, many boolean, words binary")
+
+    ranges = in_arrow(sliced(seen.where("not wide")).repartition("prefix").sortWithinPartitions("prefix"), _subtrees(width), "prefix long, context long, from int, to int")
+    if not seen.where("wide").isEmpty():
+        windows = stage(in_arrow(sliced(seen.where("wide")), _windows(width), "w1 long, w2 long, prefix long, context long, many boolean, at short"), "windows")
+        again = windows.groupBy("w1", "w2").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("w1", "w2")
+        ranges = ranges.union(windows.join(again, ["w1", "w2"]).select("prefix", "context", F.col("at").cast("int"), (F.col("at") + width).cast("int")))
+    ranges = stage(ranges, "ranges")
+    return seen.join(ranges, ["prefix", "context"]).select("doc_id", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for batch in batches for x in slices(batch, "text")):
         out: list[tuple] = []
         for doc, text, rows in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
             words = (text or "").encode().split()
             gone = 0
             if rows:
                 keep = np.zeros(len(words) + 1, np.int32)
-                np.add.at(keep, [r["lo"] for r in rows], 1)
-                np.add.at(keep, [r["hi"] for r in rows], -1)
+                np.add.at(keep, [min(r["lo"], len(words)) for r in rows], 1)
+                np.add.at(keep, [min(r["hi"], len(words)) for r in rows], -1)
                 stay = np.cumsum(keep)[:-1] == 0
                 gone = len(words) - int(stay.sum())
                 kept = b" ".join([x for x, y in zip(words, stay.tolist(), strict=True) if y])
@@ -171,8 +266,22 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) for each row of docs."""
     docs = docs.select("doc_id", "text")
     cuts = repeats(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
-    return docs.join(cuts, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return in_arrow(docs.join(cuts, "doc_id", "left"), _cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, len(w) - 34)) AS p, unnest(list_transform(range(0, len(w) - 34), lambda i: md5(array_to_string(w[i + 1:i + 35], ' ')))) AS h FROM d WHERE len(w) >= 35),
+again AS (SELECT doc_id, p AS start FROM starts QUALIFY count(*) OVER (PARTITION BY h) > 1),
+words AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM d),
+marked AS (SELECT words.doc_id, words.p, word, max(start) OVER (PARTITION BY words.doc_id ORDER BY words.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN again ON words.doc_id = again.doc_id AND words.p = start),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+}

@@ -6,7 +6,8 @@ determinised as words need them, so that misspelled terms of five letters and mo
 Near matches have log odds of their own. A hit's window of five words separates quotation (quote
 marks, reporting words) from plain use; a logistic model weighs plain, near and quoted hits.
 
-Training takes at most 2 x `SAMPLE` labelled texts outside the held-out fold, chosen by hashes.
+Training takes at most 2 x `SAMPLE` labelled texts outside the held-out fold, of at most
+`sampling.LONGEST` characters each, chosen by hashes; every text is scored, whole.
 Null and empty texts have no hits and get the score of such texts. Without labels every score is 0.
 Repeated rows are scored alike; other columns are ignored.
 """
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import load, slices
-from lumenlog.llm.sampling import fold, labelled
+from lumenlog.llm.common import in_arrow, load, slices
+from lumenlog.llm.sampling import LONGEST, fold, labelled
 
 SAMPLE, TERMS, LEAST_ODDS, NEAR_LETTERS, WINDOW, MEMO = 4000, 400, 2.0, 5, 5, 400_000
 THRESHOLD = 0.3
@@ -183,7 +184,7 @@ def _score(lex: Lexicon, w: np.ndarray):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray] | None:
-    short = docs.where(F.length("text") < 20_000)  # bounds what training moves to the driver
+    short = docs.where(F.length("text") <= LONGEST)  # bounds what training moves to the driver
     rows = sorted((r["text"], r["y"]) for r in labelled(short, labels, "toxic", 4, 2, sample).collect())
     return learn([t for t, _ in rows], [v for _, v in rows]) if rows else None
 
@@ -192,7 +193,7 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None) ->
     """doc_id, score (0 to 1, higher: likelier toxic), and counts of terms and near terms for each row of docs (doc_id, text)."""
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms"), F.lit(0).cast("long").alias("n_near"))
-    return docs.select("doc_id", "text").mapInArrow(_score(*model), "doc_id long, score double, n_terms long, n_near long")
+    return in_arrow(docs.select("doc_id", "text"), _score(*model), "doc_id long, score double, n_terms long, n_near long")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

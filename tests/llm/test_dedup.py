@@ -42,11 +42,41 @@ def test_substrings_of_an_empty_table(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_hot_prefixes_give_the_same(docs, monkeypatch):
-    want = sorted(map(tuple, substring_dedup.substring_dedup(docs, 20).collect()))
+def test_hot_and_lengthened_prefixes_give_the_same(docs, monkeypatch):
+    cuts = lambda df: sorted({(r["doc_id"], k) for r in df.collect() for k in range(r["lo"], r["hi"])})
+    want = cuts(substring_dedup.repeats(docs, 20))
+    assert want and cuts(substring_dedup.repeats(docs, 20, most=1)) == want
     real = common.hot_keys
     monkeypatch.setattr(substring_dedup, "hot_keys", lambda df, col, least, tracked=20_000: real(df, col, 2))
-    assert sorted(map(tuple, substring_dedup.substring_dedup(docs, 20).collect())) == want
+    assert cuts(substring_dedup.repeats(docs, 20)) == cuts(substring_dedup.repeats(docs, 20, most=1)) == want
+
+
+def test_a_long_repeat_comes_from_one_deep_node():
+    w = [b"%d" % i for i in range(90)]
+    slices = [w[:50], [b"x", *w[:45], b"y"], w[60:], [b"z"] * 40]
+    place, own, depth = substring_dedup.subtree(np.array([0, 0, 0, 1]), np.array([False] * 4), slices, 35)
+    got = {(int(o), int(p)): int(d) for p, o, d in zip(place, own, depth, strict=True)}
+    assert got[0, 0] == 45 and got[1, 51] == 45 and got[1, 50] == 0  # one node for the repeat of 45 words
+    assert got[0, 15] == 0 or got[0, 15] < 35
+    assert all(o != 2 for o, _ in got) and got[3, 127] == 39  # a text that repeats itself
+    assert substring_dedup.subtree(np.array([0]), np.array([True]), [w[:36]], 35)[2].tolist() in ([36, 35], [35, 36])
+
+
+def test_subtrees_against_all_pairs():
+    rng = random.Random(8)
+    slices = [[rng.choice([b"a", b"b"]) for _ in range(rng.randint(3, 20))] for _ in range(40)]
+    group = np.sort(np.array([rng.randrange(4) for _ in slices]))
+    place, own, depth = substring_dedup.subtree(group, np.zeros(40, bool), slices, 3)
+    begin = np.append(0, np.cumsum([len(x) for x in slices]))
+    rest = [(int(o), slices[o][p - begin[o] :]) for p, o in zip(place, own, strict=True)]
+    assert len(rest) == sum(len(x) - 2 for x in slices)
+    common_ = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for i, (o, s) in enumerate(rest):
+        assert depth[i] == max((common_(s, t) for j, (q, t) in enumerate(rest) if j != i and group[q] == group[o]), default=0)
+
+
+def test_substrings_equal_their_sql(spark, sf):
+    assert same(substring_dedup.op1(spark, sf), connect(sf), substring_dedup.SQL["op1_substring_dedup"])
 
 
 def test_exact(docs):
