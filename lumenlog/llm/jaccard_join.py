@@ -12,12 +12,13 @@ Links join documents whose sets of `k`-word shingles have Jaccard similarity of
    shingle of a prefix as a signature instead.
 2. *Blocks.* Sets of a class with a common signature are candidates; connected candidates a block. A
    set can be in a block of either of its classes, so blocks don't run on from one size to the next.
-   A block is dealt into chunks of bounded size. Only members' shingles are sent to them, as hashes.
+   A block is dealt into chunks of bounded size, sets with the same most common signature together.
+   Only members' shingles are sent to them, as hashes.
 3. *Token-group matrix.* A chunk's sets meet in one task, which orders them, cuts them into groups of
    similar ones, and keeps each group's union of shingles. A set opens a group only if its overlap
    with that union reaches the bound; only then are exact similarities taken.
-4. *Blocks of many chunks.* One set of each component found so far meets those of the block's other
-   chunks, until no more of them link. A block of near copies is one component then. Sets outside
+4. *Blocks of many chunks.* Where components have swallowed most of a block, one set of each meets
+   those of its other chunks until no more link: a block of near copies is one then. Sets outside
    their block's largest component then visit those other chunks that hold a set with one of their
    signatures and of another component, in batches of bounded size, and meet the same matrix there.
 5. *Components* over the links found, by the smallest doc_id of each set; copies take their set's.
@@ -276,7 +277,7 @@ def _bodies(k: int):
                 at = np.flatnonzero(a.view(np.int64) == x.column("set1").to_numpy())
                 end = np.cumsum(size)
                 tokens = [s[end[i] - size[i] : end[i]].tobytes() for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(at)) for c in ("doc_id", "block", "chunk", "chunks")), pa.array(size[at].astype(np.int32)), pa.array(tokens, pa.binary())], ["rep", "block", "chunk", "chunks", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(at)) for c in ("doc_id", "block", "chunk")), pa.array(tokens, pa.binary())], ["rep", "block", "chunk", "tokens"])
 
     return run
 
@@ -293,65 +294,61 @@ def _open(percent: int):
     return run
 
 
-def _resign(percent: int):
-    """The signatures of sets given by their shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in slices(b, "tokens"):
-                size = x.column("n").to_numpy().astype(np.int64)
-                s = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in x.column("tokens")])
-                ti, _, sig = signatures(np.repeat(np.arange(len(size)), size), s, size, percent)
-                yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(ti)) for c in ("rep", "block", "chunk", "root", "main")), pa.array(sig.view(np.int64))], ["rep", "block", "chunk", "root", "main", "sig"])
-
-    return run
-
-
 def _node(set1: str, cls: Column) -> Column:
     """A set as a member of a size class."""
     return F.xxhash64(set1, cls)
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, by: str = "rep") -> DataFrame:
-    """rows joined with table (one row a key); a key of many rows is dealt over salts."""
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows (rep, ...) joined with table (one row a key); a key of many rows is dealt over salts."""
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
+def _shares() -> Column:
+    """How many chunks a group's sets (of n shingles) make."""
+    return F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
 
 
-def _chunked(rows: DataFrame, seed: int) -> DataFrame:
-    """rows (rep, n, block) with chunks, the count of chunks of their block, and chunk."""
-    count = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    return _looked_up(rows, rows.groupBy("block").agg(count.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("chunks")).cast("int"))
+def _at_home(several: DataFrame, buckets: DataFrame) -> DataFrame:
+    """several, sets of blocks with many chunks, with their chunk: sets whose most common signature is the same come together."""
+    home = buckets.join(several.select("set1", "cls", "rep", "block"), ["set1", "cls"]).groupBy("rep", "block").agg(F.max_by("sig", F.struct("bucket", "sig")).alias("home"))
+    rows = stage(several.join(home, ["rep", "block"], "left").withColumn("home", F.coalesce("home", F.xxhash64("rep"))), "homes")
+    large = rows.groupBy("block", "home").agg(_shares().alias("parts")).where("parts > 1")
+    few = F.pmod(F.xxhash64("home"), 2 * F.col("chunks"))
+    return rows.join(large, ["block", "home"], "left").withColumn("chunk", F.when(F.col("parts") > 1, F.xxhash64("home", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")))).otherwise(few)).select("rep", "set1", "cls", "n", "block", "chunk")
 
 
-def _across(bodies: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links between chunks (a, b), given all sets of blocks with several chunks, and the components within chunks."""
+def _across(sets: DataFrame, bodies: DataFrame, buckets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between chunks (a, b), given all sets (rep, set1, cls, n, block, chunk) of blocks with several chunks, and the components within chunks."""
     opened = _open(percent)
+    tokens = bodies.select("rep", "block", "tokens")
     links, edges, before = [], roots.select(F.col("id").alias("a"), F.col("root").alias("b")), None
     seed = 3
     while True:
-        known = stage(bodies.drop("chunks").join(roots, F.col("rep") == F.col("id"), "left").withColumn("root", F.coalesce("root", "rep")).drop("id"), "known")
+        known = stage(sets.join(roots, F.col("rep") == F.col("id"), "left").withColumn("root", F.coalesce("root", "rep")).drop("id"), "known")
+        of_block = known.groupBy("block").agg(F.count("*").alias("all"), F.count_distinct("root").alias("different")).where("different > 1 and 4 * different <= all").select("block")
         first = Window.partitionBy("block", "root").orderBy(F.desc("n"), "rep")
-        heads = known.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("rep", "n", "block", "root", "tokens")
+        heads = stage(known.join(of_block, "block", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("rep", "n", "block"), "heads")
         count = heads.count()
-        if before is not None and count > 0.75 * before:
+        if count == 0 or before is not None and count > 0.75 * before:
             break
         before, seed = count, seed + 1
-        links.append(stage(_chunked(heads, seed).select("block", "chunk", "rep", "tokens").groupBy("block", "chunk").applyInArrow(opened, "a long, b long"), "head-links"))
+        dealt = _looked_up(heads, heads.groupBy("block").agg(_shares().alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("chunks")))
+        links.append(stage(dealt.join(tokens, ["rep", "block"]).select("block", "chunk", "rep", "tokens").groupBy("block", "chunk").applyInArrow(opened, "a long, b long"), "head-links"))
         edges = edges.union(links[-1])
         roots = stage(components(edges), "roots")
     # every set out of the block's largest component visits where a set of another component has a signature of it
     main = known.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    known = stage(_looked_up(known, main, "block"), "known")
-    signed = stage(in_arrow(known.select("rep", "n", "block", "chunk", "root", "main", "tokens"), _resign(percent), "rep long, block long, chunk int, root long, main long, sig long"), "signed")
+    signed = stage(buckets.select("sig", "set1", "cls").join(_looked_up(known, main, "block"), ["set1", "cls"]).select("sig", "rep", "n", "block", "chunk", "root", "main").distinct(), "signed")
     targets = signed.groupBy("sig", "block", F.col("chunk").alias("to")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    visits = signed.where("root <> main").join(targets, ["sig", "block"]).where("chunk <> to and (low <> root or high <> root)").select("rep", "block", F.col("to").alias("chunk")).distinct()
-    visits = stage(visits.join(known.select("rep", "block", "root", "n", "tokens"), ["rep", "block"]), "visits")
-    batches = visits.groupBy("block", "chunk").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("batches"))
-    guests = visits.join(batches, ["block", "chunk"]).withColumn("batch", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("batches")).cast("int"))
-    hosts = known.join(batches, ["block", "chunk"]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
-    columns = ["block", "chunk", "batch", "rep", "root", "tokens"]
-    met = hosts.select(*columns, F.lit(1).alias("side")).union(guests.select(*columns, F.lit(2).alias("side")))
+    visits = signed.where("root <> main").join(targets, ["sig", "block"]).where("chunk <> to and (low <> root or high <> root)").select("rep", "block", F.col("to").alias("chunk"), "root", "n").distinct()
+    visits = stage(visits, "visits")
+    batches = stage(visits.groupBy("block", "chunk").agg(_shares().alias("batches")), "batches")
+    guests = visits.join(batches, ["block", "chunk"]).withColumn("batch", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("batches")).cast("int")).withColumn("side", F.lit(2))
+    hosts = known.join(batches, ["block", "chunk"]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).withColumn("side", F.lit(1))
+    columns = ["block", "chunk", "batch", "rep", "root", "side"]
+    met = guests.select(*columns).union(hosts.select(*columns)).join(tokens, ["rep", "block"])
     links.append(met.groupBy("block", "chunk", "batch").applyInArrow(opened, "a long, b long"))
     found = links[0]
     for x in links[1:]:
@@ -364,20 +361,26 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ids = stage(in_arrow(docs, _identify(k, percent), "doc_id long, n_shingles long, set1 long, set2 long, cls int"), "sets")
     signed = in_arrow(docs, _sign(k, percent), "sig long, set1 long, n int, cls int")
-    # sets that share a signature: each next to its neighbour by size, if that can link
+    # sets that share a signature, each with its neighbours by size
     w = Window.partitionBy("sig").orderBy("n", "set1")
-    near = signed.withColumn("p", F.lag("set1").over(w)).withColumn("pn", F.lag("n").over(w))
-    edges = stage(near.where(f"p <> set1 and 100 * pn >= {percent} * n").select(_node("set1", F.col("cls")).alias("a"), _node("p", F.col("cls")).alias("b")).distinct(), "candidates")
+    near = signed.withColumn("p", F.lag("set1").over(w)).withColumn("pn", F.lag("n").over(w)).withColumn("f", F.lead("set1").over(w)).where("p <> set1 or f <> set1")
+    buckets = stage(near.withColumn("bucket", F.count("*").over(Window.partitionBy("sig"))).select("sig", "set1", "cls", "n", "bucket", "p", "pn"), "buckets")
+    edges = buckets.where(f"p <> set1 and 100 * pn >= {percent} * n").select(_node("set1", F.col("cls")).alias("a"), _node("p", F.col("cls")).alias("b")).distinct()
     blocks = stage(components(edges).select(F.col("id").alias("node"), F.col("root").alias("block")), "blocks")
     one = stage(ids.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("cls").alias("cls")).where("rep is not null"), "classes")
-    members = one.withColumn("node", F.explode(F.array(_node("set1", F.col("cls")), _node("set1", F.col("cls") + 1)))).join(blocks, "node").select("rep", "set1", "n", "block")
-    placed = stage(_chunked(members, 3).select(F.col("rep").alias("doc_id"), "set1", "block", "chunk", "chunks"), "placed")
-    bodies = stage(in_arrow(docs.join(placed.hint("shuffle_hash"), "doc_id"), _bodies(k), "rep long, block long, chunk int, chunks int, n int, tokens binary"), "bodies")
-    links = stage(bodies.select("block", "chunk", "rep", "tokens").groupBy("block", "chunk").applyInArrow(_open(percent), "a long, b long"), "links")
+    members = one.withColumn("cls", F.explode(F.array("cls", F.col("cls") + 1))).withColumn("node", _node("set1", F.col("cls"))).join(blocks, "node").select("rep", "set1", "cls", "n", "block")
+    members = stage(_looked_up(members, members.groupBy("block").agg(_shares().alias("chunks")), "block"), "members")
+    several = members.where("chunks > 1")
+    sets = None if several.isEmpty() else stage(_at_home(several, buckets), "dealt")
+    placed = members.where("chunks = 1").select(F.col("rep").alias("doc_id"), "set1", "block", F.lit(0).cast("long").alias("chunk"))
+    if sets is not None:
+        placed = placed.union(sets.select("rep", "set1", "block", "chunk"))
+    bodies = stage(in_arrow(docs.join(placed.hint("shuffle_hash"), "doc_id"), _bodies(k), "rep long, block long, chunk long, tokens binary"), "bodies")
+    links = stage(bodies.groupBy("block", "chunk").applyInArrow(_open(percent), "a long, b long"), "links")
     roots = stage(components(links), "roots")
-    several = bodies.where("chunks > 1")
-    if not several.isEmpty():
-        roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(_across(several, roots, percent))), "roots")
+    if sets is not None:
+        more = stage(_across(sets, bodies, buckets, roots, percent), "more")
+        roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     named = one.join(roots, F.col("rep") == F.col("id"), "left").select("set1", "set2", F.coalesce("root", "rep").alias("component_id"))
     found = ids.join(named, ["set1", "set2"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
