@@ -8,8 +8,10 @@ Links join documents whose sets of `k`-word shingles have Jaccard similarity of
    that isn't empty. A part's signature is a hash of its shingles. A set leaves its `slack` smallest
    parts out, by size and signature: of the slack + 1 or more parts that a pair shares, the largest
    stays in both. Sizes are dealt into classes; a set has the signatures of its own class and, if it
-   can link upwards, of the next. Tiny sets and those with more empty parts than the slack have each
-   shingle of a prefix as a signature instead.
+   can link upwards, of the next. Shared passages would make false candidates, so the shingles that
+   most documents have are left out at first; a set whose parts are then empty more often than the
+   slack has the signatures of all its shingles too, and if those are, each shingle of a prefix: a
+   pair of which one set isn't such a case shares a part before, and one of which both are, then.
 2. *Blocks.* Sets of a class with a common signature are candidates; connected candidates a block. A
    set can be in a block of either of its classes, so blocks don't run on from one size to the next.
    A block is dealt into chunks of bounded size, sets with the same most common signature together.
@@ -46,6 +48,8 @@ CHUNK, CHUNK_SHINGLES, GROUP, CELLS = 3000, 500_000, 64, 4_000_000
 TINY = 16
 #: Shares that a block's rows are dealt over where they look up what holds for the block; sets that a task remembers to have signed.
 SALTS, REMEMBERED = 16, 1_000_000
+#: Shingles that signatures leave out at most, and the sets that must have one.
+COMMON, LEAST = 20_000, 100
 
 
 def classes(percent: int) -> list[tuple[int, int]]:
@@ -59,7 +63,7 @@ def classes(percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _slack(most: int) -> int:
+def _slack(most):
     return 3 + most // 5
 
 
@@ -104,12 +108,15 @@ def class_of(size: np.ndarray, percent: int) -> np.ndarray:
     return np.searchsorted(np.array([hi for hi, _ in classes(percent)], np.int64), size)
 
 
-def signatures(t: np.ndarray, s: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature's text, size class and value."""
+def signatures(t: np.ndarray, s: np.ndarray, size: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature's text, size class and value; common: sorted shingles to leave out while enough parts stay filled."""
     table = classes(percent)
     his = np.array([hi for hi, _ in table], np.int64)
     parts_of = np.array([m for _, m in table], np.int64)
     own = class_of(size, percent)
+    rare = np.ones(len(s), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s
     out_t, out_c, out_s = [], [], []
     for up in (0, 1):
         cls = own + up
@@ -117,21 +124,20 @@ def signatures(t: np.ndarray, s: np.ndarray, size: np.ndarray, percent: int) ->
         parts = parts_of[cls]
         cut = takes & (parts > 0)
         prefix = takes & (parts == 0)
-        row = cut[t]
-        if row.any():
+        for kind in (0, 1):  # of a pair, one set or none has too many empty parts and the rare shingles do, or both go on to all shingles
+            row = cut[t] & (rare if kind == 0 else True)
             ti, si = t[row], s[row]
             part = (mix(si, 31) % parts[ti].astype(np.uint64)).astype(np.int64)
             key = ti.astype(np.int64) << 40 | part
             order = np.argsort(key, kind="stable")
             key, ti, part = key[order], ti[order], part[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             ti = ti[first]
-            sig = mix(_sum_by(mix(si[order], 32), first) ^ mix((part[first] * 4096 + cls[ti]).astype(np.uint64), 33), 34)
+            sig = mix(_sum_by(mix(si[order], 32), first) ^ mix(((part[first] * 4096 + cls[ti]) * 2 + kind).astype(np.uint64), 33), 34)
             held = np.diff(np.append(first, len(order)))
             filled_parts = np.bincount(ti, minlength=len(size))
             empty = parts - filled_parts
             slack = _slack((100 - percent) * 2 * his[cls] // (100 + percent))
-            prefix = prefix | (cut & (empty > slack))
             order = np.lexsort((sig, held, ti))  # the smallest parts first; empty ones come before them
             ti, sig = ti[order], sig[order]
             nth = np.arange(len(ti)) - (np.cumsum(filled_parts) - filled_parts)[ti]
@@ -139,6 +145,8 @@ def signatures(t: np.ndarray, s: np.ndarray, size: np.ndarray, percent: int) ->
             out_t.append(ti[keep])
             out_c.append(cls[ti[keep]])
             out_s.append(sig[keep])
+            cut = cut & (empty > slack)
+        prefix = prefix | cut
         row = prefix[t]
         if row.any():  # the smallest shingles by hash, as many as a linked pair can't all miss
             ti, si = t[row], mix(s[row], 35)
@@ -166,7 +174,27 @@ def _identify(k: int, percent: int):
     return run
 
 
-def _sign(k: int, percent: int):
+def _repeated(k: int):
+    """Shingles that two or more sets of a slice have, with how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in slices(b, "text"):
+                _, s = shingle_sets(Words(filled(x.column("text")), lower=True), k)
+                token, n = np.unique(s, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """At most `COMMON` shingles that most documents share, sorted. Whatever they are, no link is lost; the more of them, the fewer false candidates."""
+    counts = in_arrow(docs.select("text"), _repeated(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+
+
+def _sign(k: int, percent: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
@@ -179,7 +207,7 @@ def _sign(k: int, percent: int):
                 seen = seen if len(seen) < REMEMBERED else set()
                 seen.update(held.tolist())
                 row = one[t]
-                ti, cls, sig = signatures(t[row], s[row], np.where(one, size, 0), percent)
+                ti, cls, sig = signatures(t[row], s[row], np.where(one, size, 0), percent, common)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(a[ti].view(np.int64)), pa.array(size[ti].astype(np.int32)), pa.array(cls.astype(np.int32))], ["sig", "set1", "n", "cls"])
 
     return run
@@ -360,7 +388,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     ids = stage(in_arrow(docs, _identify(k, percent), "doc_id long, n_shingles long, set1 long, set2 long, cls int"), "sets")
-    signed = in_arrow(docs, _sign(k, percent), "sig long, set1 long, n int, cls int")
+    signed = in_arrow(docs, _sign(k, percent, common_shingles(docs, k)), "sig long, set1 long, n int, cls int")
     # sets that share a signature, each with its neighbours by size
     w = Window.partitionBy("sig").orderBy("n", "set1")
     near = signed.withColumn("p", F.lag("set1").over(w)).withColumn("pn", F.lag("n").over(w)).withColumn("f", F.lead("set1").over(w)).where("p <> set1 or f <> set1")

@@ -125,6 +125,12 @@ def test_jaccard(docs, k, percent):
     assert got == brute_components(texts(docs), k, percent)
 
 
+def test_jaccard_with_common_shingles(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAST", 2)
+    assert len(jaccard_join.common_shingles(docs, 4)) > 100
+    assert {tuple(r) for r in jaccard_join.jaccard_join(docs, 4, 85).collect()} == brute_components(texts(docs), 4, 85)
+
+
 def test_jaccard_of_an_empty_table(empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
@@ -151,7 +157,8 @@ def test_linked_sets_share_a_signature(percent):
             continue
         t = np.repeat([0, 1], [len(a), len(b)])
         s = np.concatenate([np.sort(np.array(x, np.uint64)) for x in (a, b)])
-        ti, cls, sig = jaccard_join.signatures(t, s, np.array([len(a), len(b)]), percent)
+        common = np.sort(np.array(rng.sample(pool, rng.choice([0, 1, n // 3, n, 2 * n])), np.uint64))
+        ti, cls, sig = jaccard_join.signatures(t, s, np.array([len(a), len(b)]), percent, common)
         at = [set(zip(cls[ti == i].tolist(), sig[ti == i].tolist(), strict=True)) for i in (0, 1)]
         assert at[0] & at[1]
 
