@@ -33,6 +33,7 @@ Sets and shingles are identified by 128 and 64 bits of hash. Other columns are i
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import Words, components, filled, in_arrow, load, mix, slices, stage
 
 #: Sets and shingles of a block's chunk; sets of a group of the matrix, and cells of it at once.
-CHUNK, CHUNK_SHINGLES, GROUP, CELLS = 3000, 500_000, 64, 4_000_000
+CHUNK, CHUNK_SHINGLES, GROUP, CELLS = 6000, 1_500_000, 64, 4_000_000
 TINY = 16
 #: Shares that a block's rows are dealt over where they look up what holds for the block; sets that a task remembers to have signed.
 SALTS, REMEMBERED = 16, 1_000_000
@@ -367,8 +368,10 @@ def _across(sets: DataFrame, bodies: DataFrame, buckets: DataFrame, roots: DataF
         edges = edges.union(links[-1])
         roots = stage(components(edges), "roots")
     # every set out of the block's largest component visits where a set of another component has a signature of it
+    open_ = known.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
+    known = stage(known.join(open_, "block", "left_semi"), "open")
     main = known.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    signed = stage(buckets.select("sig", "set1", "cls").join(_looked_up(known, main, "block"), ["set1", "cls"]).select("sig", "rep", "n", "block", "chunk", "root", "main").distinct(), "signed")
+    signed = stage(buckets.select("sig", "set1", "cls").join(_looked_up(known, main, "block"), ["set1", "cls"]).select("sig", "rep", "n", "block", "chunk", "root", "main"), "signed")
     targets = signed.groupBy("sig", "block", F.col("chunk").alias("to")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
     visits = signed.where("root <> main").join(targets, ["sig", "block"]).where("chunk <> to and (low <> root or high <> root)").select("rep", "block", F.col("to").alias("chunk"), "root", "n").distinct()
     visits = stage(visits, "visits")
@@ -378,10 +381,7 @@ def _across(sets: DataFrame, bodies: DataFrame, buckets: DataFrame, roots: DataF
     columns = ["block", "chunk", "batch", "rep", "root", "side"]
     met = guests.select(*columns).union(hosts.select(*columns)).join(tokens, ["rep", "block"])
     links.append(met.groupBy("block", "chunk", "batch").applyInArrow(opened, "a long, b long"))
-    found = links[0]
-    for x in links[1:]:
-        found = found.union(x)
-    return found
+    return functools.reduce(DataFrame.union, links)
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -393,7 +393,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     w = Window.partitionBy("sig").orderBy("n", "set1")
     near = signed.withColumn("p", F.lag("set1").over(w)).withColumn("pn", F.lag("n").over(w)).withColumn("f", F.lead("set1").over(w)).where("p <> set1 or f <> set1")
     buckets = stage(near.withColumn("bucket", F.count("*").over(Window.partitionBy("sig"))).select("sig", "set1", "cls", "n", "bucket", "p", "pn"), "buckets")
-    edges = buckets.where(f"p <> set1 and 100 * pn >= {percent} * n").select(_node("set1", F.col("cls")).alias("a"), _node("p", F.col("cls")).alias("b")).distinct()
+    edges = stage(buckets.where(f"p <> set1 and 100 * pn >= {percent} * n").select(_node("set1", F.col("cls")).alias("a"), _node("p", F.col("cls")).alias("b")).distinct(), "candidates")
     blocks = stage(components(edges).select(F.col("id").alias("node"), F.col("root").alias("block")), "blocks")
     one = stage(ids.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("cls").alias("cls")).where("rep is not null"), "classes")
     members = one.withColumn("cls", F.explode(F.array("cls", F.col("cls") + 1))).withColumn("node", _node("set1", F.col("cls"))).join(blocks, "node").select("rep", "set1", "cls", "n", "block")
