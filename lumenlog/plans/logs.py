@@ -454,7 +454,11 @@ def prose_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", F.length(text.plain_prose(F.col("text"))).alias("chars"))
 
 
-_QUOTES = [(1, "> quoted\n> more\n\nmy answer", "my answer"), (2, "intro\n> q\n\n\nbody\n\nend", "intro\nbody\n\nend"), (3, "no quote\n\nhere", "no quote\n\nhere"), (4, "> only", "")]
+_QUOTES = [
+    (1, "<!-- reply -->\n> quoted\n> more\n\nmy answer", "my answer"), (2, "> 3 retries is too many, use one", "> 3 retries is too many, use one"), (3, "no quote\n\nhere", "no quote\n\nhere"),
+    (4, "<!-- attach -->\n> only", ""), (5, "\n <!-- Reply 2 --> \n> a\n\n> b\nfirst\n> typed\n\n<!-- reply -->\n> c\nsecond\n\nend", "\nfirst\n> typed\n\nsecond\n\nend"),
+    (6, "intro\n<!-- reply -->\n> q\nbody", "intro\n<!-- reply -->\n> q\nbody"), (7, "<!-- reply -->\n> q\nbody\n<!-- reply 3 -->\n> r\n", "body"),
+]
 
 
 @query("quote_peel", f"SELECT id, text FROM {_sql_values([(i, p) for i, _, p in _QUOTES], 'id, text')}")
