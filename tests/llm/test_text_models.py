@@ -226,3 +226,10 @@ def test_segment_dynamic_program_against_all_segmentations():
     gold = set(max(every, key=lambda x: x[0])[1])
     like = s.gradient(w, gold)[1]
     assert like == pytest.approx(max(x for x, _ in every) - np.logaddexp.reduce([x for x, _ in every]))
+
+
+def test_sites_hold_whole_words_and_spelt_out_addresses():
+    for whole in ("jonathan dot alexander dot montgomery at mail dot example dot org", "jo.doe [at] mail [dot] example [dot] org", "ana arroba correo punto es"):
+        text = f"write to {whole} today, ok"
+        assert any(text[a:b].startswith(("write", whole)) or whole in text[a:b] for a, b in pii.sites(text)), whole
+    assert list(pii.sites("no such thing here")) == []
