@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import scoring as S
 from lumenlog.functions.text import DOC_CLIP, clip, tokenize
-from lumenlog.functions.vectors import checked, dimension, dot
+from lumenlog.functions.vectors import dot
 
 DIGITS = 9
 
@@ -27,12 +27,9 @@ def corpus(statements: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, Dat
     return statements.join(first, "id"), statements.join(first.select("id"), "id", "left_anti")
 
 
-def cosine(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """pairs (query_id, id, qvec, vec) with cos, the inner product of unit vectors."""
-    dim = dimension(vectors if vectors is not None else pairs, "vec")
-    if dim is None:
-        return pairs.withColumn("cos", F.lit(0.0))
-    return pairs.withColumn("cos", F.round(dot(checked(F.col("qvec"), dim), checked(F.col("vec"), dim), dim), DIGITS))
+def cosine(pairs: DataFrame) -> DataFrame:
+    """pairs (query_id, id, qvec, vec) with cos, the inner product of unit vectors; vectors of different lengths are an error."""
+    return pairs.withColumn("cos", F.round(dot(F.col("qvec"), F.col("vec")), DIGITS))
 
 
 def emb_rank() -> Column:
@@ -45,23 +42,26 @@ def terms(texts: DataFrame) -> DataFrame:
     return t.select("id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("term").alias("tf"))
 
 
+def lengths(statements: DataFrame) -> DataFrame:
+    """statements with len, their number of tokens: known before a statement meets any query."""
+    return statements.withColumn("len", F.size(tokenize(clip(F.col("text"), DOC_CLIP))))
+
+
 def bm25(visible: DataFrame, queries: DataFrame, statements: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) for every visible pair (query_id, id): zero where no term is shared.
+    """(query_id, id, bm25) for every visible pair (query_id, id, len): zero where no term is shared.
 
     Document frequency, their number and average length are those of what the query may see. Only the
-    queries' terms are looked up in the documents.
+    queries' terms are looked up in the documents. A pair's hits are at most its query's terms.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("situation")))).alias("term"))
-    wanted = q.select("term").distinct()
-    tokens = statements.select("id", tokenize(clip(F.col("text"), DOC_CLIP)).alias("tokens"))
-    lengths = visible.join(tokens.select("id", F.size("tokens").alias("len")), "id")
-    stats = lengths.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    tf = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("id", "term", "len").agg(F.count("*").alias("tf"))
-    hits = tf.join(q, "term").join(visible.select("query_id", "id"), ["query_id", "id"])
-    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    score = S.bm25_term(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("avg"))
-    scored = hits.join(F.broadcast(df), ["query_id", "term"]).join(F.broadcast(stats), "query_id").groupBy("query_id", "id").agg(F.sum(score).alias("s"))
-    return visible.join(scored, ["query_id", "id"], "left").withColumn("bm25", F.round(F.coalesce("s", F.lit(0.0)), DIGITS)).drop("s")
+    tokens = statements.select("id", F.explode(tokenize(clip(F.col("text"), DOC_CLIP))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    tf = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    seen = tf.join(q, "term").join(visible.select("query_id", "id"), ["query_id", "id"]).withColumn("df", F.count("*").over(Window.partitionBy("query_id", "term")))
+    hits = seen.groupBy("query_id", "id").agg(F.collect_list(F.struct("tf", "df")).alias("hits"))
+    everything = Window.partitionBy("query_id")
+    all_ = visible.join(hits, ["query_id", "id"], "left").withColumn("n", F.count("*").over(everything)).withColumn("avg", F.avg("len").over(everything))
+    score = F.aggregate("hits", F.lit(0.0), lambda s, h: s + S.bm25_term(h["tf"], h["df"], F.col("len"), F.col("n"), F.col("avg")))
+    return all_.withColumn("bm25", F.round(F.coalesce(score, F.lit(0.0)), DIGITS)).drop("hits", "n", "avg")
 
 
 def bm25_rank() -> Column:

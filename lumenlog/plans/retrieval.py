@@ -15,23 +15,22 @@ _E, _M = T.EPOCH, T.MINUTE
 
 
 def _base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cases, searchable statements, and what each case may see with cosine and ranks."""
+    """Cases, searchable statements, and what each case may see, without texts.
+
+    Statements are spread before they meet the cases: a row is sent once and used for every case.
+    """
     cases = T.cases(spark, sf)
     corpus, _ = ranking.corpus(T.statements(spark, sf), T.embeddings(spark, sf))
-    visible = eligibility.visible(cases, corpus)
-    return cases, corpus, visible
-
-
-def _shared(visible: DataFrame, cases: DataFrame, statements: DataFrame) -> DataFrame:
-    """(query_id, id, shared): distinct tokens of five letters and more in both, the stand-in judge's input."""
-    long = lambda c: F.explode(F.array_distinct(F.filter(tokenize(c), lambda w: F.length(w) >= 5)))
-    q = cases.select("query_id", long(F.col("situation")).alias("term"))
-    d = statements.select("id", long(clip(F.col("text"), DOC_CLIP)).alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
-    return d.join(q, "term").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+    spread = ranking.lengths(corpus).drop("text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return cases, corpus, eligibility.visible(cases, spread)
 
 
 def _judged(candidates: DataFrame, cases: DataFrame, statements: DataFrame) -> DataFrame:
-    return candidates.join(_shared(candidates, cases, statements), ["query_id", "id"], "left").withColumn("p", T.judge_p(F.coalesce("shared", F.lit(0))))
+    """candidates with the stand-in judge's p, from how many distinct tokens of five letters and more both texts have."""
+    long = lambda c: F.array_distinct(F.filter(tokenize(c), lambda w: F.length(w) >= 5))
+    held = candidates.join(statements.select("id", long(clip(F.col("text"), DOC_CLIP)).alias("held")), "id")
+    both = held.join(cases.select("query_id", long(F.col("situation")).alias("asked")), "query_id")
+    return both.withColumn("p", T.judge_p(F.size(F.array_intersect("held", "asked")))).drop("held", "asked")
 
 
 # ---- the shared SQL: corpus, cosine, BM25, ranks, judge --------------------------
@@ -88,7 +87,7 @@ def bm25_docfreq(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency of each query term among what the query may see."""
     cases, corpus, visible = _base(spark, sf)
     q = cases.select("query_id", F.explode(F.array_distinct(tokenize(F.col("situation")))).alias("term"))
-    t = corpus.select("id", F.explode(F.array_distinct(tokenize(clip(F.col("text"), DOC_CLIP)))).alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+    t = corpus.select("id", F.explode(F.array_distinct(tokenize(clip(F.col("text"), DOC_CLIP)))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
     return t.join(q, "term").join(visible.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
 
 
@@ -323,7 +322,9 @@ def card_fail_closed(spark: SparkSession, sf: str) -> DataFrame:
 SELECT query_id, reason, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY micros, id) FILTER (k <= 50) AS ids FROM k GROUP BY query_id, reason""",
 )
 def precision_tally(spark: SparkSession, sf: str) -> DataFrame:
-    v = eligibility.visible(T.cases(spark, sf), T.statements(spark, sf)).join(T.cards(spark, sf), "id").where(eligibility.card_allowed()).withColumn("reason", eligibility.precision_reason())
+    ruled = T.statements(spark, sf).join(T.cards(spark, sf), "id").withColumn("cites", eligibility.cites_location(F.col("text"))).withColumn("chars", F.length("text")).drop("text")
+    spread = ruled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # the rules on texts are settled once a statement, not once a pair
+    v = eligibility.visible(T.cases(spark, sf), spread).where(eligibility.card_allowed()).withColumn("reason", eligibility.precision_reason(cites=F.col("cites"), chars=F.col("chars")))
     return eligibility.tally(v, ["query_id"]).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
