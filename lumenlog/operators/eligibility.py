@@ -38,17 +38,22 @@ def card_allowed(exclude: tuple[str, ...] = EXCLUDED_KINDS, scope: bool = True,
     return F.coalesce(ok, F.lit(False))
 
 
-def precision_reason(placeholder: bool = True, citations: bool = True, cross_repo_chars: int = CROSS_REPO_CHARS, rule_chars: int = RULE_CHARS, aliases: dict[str, str] | None = None) -> Column:
-    """The first precision rule that keeps a row (gist_source, text, kind, repo, current_repo) out, or null."""
+def precision_reason(placeholder: bool = True, citations: bool = True, cross_repo_chars: int = CROSS_REPO_CHARS, rule_chars: int = RULE_CHARS, aliases: dict[str, str] | None = None, cites: Column | None = None, chars: Column | None = None) -> Column:
+    """The first precision rule that keeps a row (gist_source, text, kind, repo, current_repo) out, or null.
+
+    cites and chars: what cites_location and length give for the text, where rows no longer have it.
+    """
+    cites = cites_location(F.col("text")) if cites is None else cites
+    chars = F.length("text") if chars is None else chars
     rules: list[tuple[Column, str]] = []
     if placeholder:
         rules.append((F.col("gist_source") == "none", REASONS[0]))
     if citations:
-        rules.append((cites_location(F.col("text")), REASONS[1]))
+        rules.append((cites, REASONS[1]))
     if cross_repo_chars > 0:
-        rules.append(((F.length("text") >= cross_repo_chars) & ~same_repo(F.col("repo"), F.col("current_repo"), aliases), REASONS[2]))
+        rules.append(((chars >= cross_repo_chars) & ~same_repo(F.col("repo"), F.col("current_repo"), aliases), REASONS[2]))
     if rule_chars > 0:
-        rules.append((F.col("kind").isin(*DIRECTIVES) & (F.length("text") >= rule_chars), REASONS[3]))
+        rules.append((F.col("kind").isin(*DIRECTIVES) & (chars >= rule_chars), REASONS[3]))
     out = F.lit(None).cast("string")
     for hit, reason in reversed(rules):
         out = F.when(hit, reason).otherwise(out)
@@ -83,3 +88,28 @@ def card_problems(kinds: tuple[str, ...], scopes: tuple[str, ...], max_words: in
         (gist == "", "gist is empty"), (F.size(F.split(gist, " ")) > max_words, "gist is too long"),
     ]
     return F.filter(F.array(*[F.when(hit, text) for hit, text in checks]), lambda x: x.isNotNull())
+
+
+def checked_answers(entries: DataFrame, batches: DataFrame) -> DataFrame:
+    """Answers (batch, n, ok) of batches (batch, size): one row a number with its verdict.
+
+    stray: not a number of its batch; repeated: answered more than once, whatever the answers; bad: not ok; else good.
+    """
+    seen = entries.groupBy("batch", "n").agg(F.count("*").alias("times"), F.bool_and("ok").alias("ok")).join(batches, "batch")
+    inside = F.coalesce(F.col("n").between(1, F.col("size")), F.lit(False))
+    verdict = F.when(~inside, "stray").when(F.col("times") > 1, "repeated").when(F.col("ok"), "good").otherwise("bad")
+    return seen.select("batch", "n", "times", verdict.alias("verdict"))
+
+
+def attended(kind: Column, scheduled: Column, attended: Column, entrypoint: Column, origin: Column, human: Column) -> Column:
+    """The verdict on a session of the host that says itself whether a person is there: interactive only on positive evidence.
+
+    kind, scheduled, attended: the host's settings; entrypoint, origin, human (origin kind): of the newest user record, or null.
+    """
+    told = lambda why, x: F.concat(F.lit(why), x)
+    return (
+        F.when(kind.isin("bg", "daemon", "daemon-worker"), told("headless:claude-session-kind-", kind)).when(scheduled.isNotNull() & ~scheduled.isin("", "0"), "headless:claude-scheduled-run")
+        .when(attended == "0", "headless:claude-unattended").when(entrypoint.startswith("sdk-"), told("headless:claude-transcript-entrypoint-", entrypoint))
+        .when((origin == "sdk") & ~F.coalesce(human == "human", F.lit(False)), "headless:claude-transcript-turn-origin-sdk").when(attended == "1", "interactive:claude-attended")
+        .when(attended.isNotNull(), "unknown:claude-attended-value").when(human == "human", "interactive:claude-transcript-human").otherwise("unknown:claude-no-attendance-signal")
+    )

@@ -59,3 +59,24 @@ def gate_rows(survivors: DataFrame, picked: DataFrame, least: float = S.APPLY_GA
     p = picked.select("query_id", "id", F.lit(True).alias("injected"))
     verdict = F.when(F.col("injected"), "injected").when(F.col("apply_p").isNull(), "no-answer").when(F.col("apply_p") >= least, "cut").otherwise("below")
     return survivors.join(p, ["query_id", "id"], "left").withColumn("verdict", verdict).drop("injected")
+
+
+def survivors(ranked: DataFrame, p: str, least: float, told: DataFrame, texts: DataFrame, hubs: DataFrame) -> DataFrame:
+    """What may be told, in its order, before any cut: gate, what the session was told, hubs (id), copies of a text.
+
+    ranked: (query_id, session, id, rank) with the column p and a score; told: (session, id); texts: (id, text).
+    Texts are joined to what passed the gate alone.
+    """
+    passing = gate(ranked, p, least).join(texts.select("id", "text"), "id")
+    return keep_best(no_repeat(passing, told, texts).join(hubs.select("id").distinct(), "id", "left_anti"), ["query_id"])
+
+
+def carried(turns: DataFrame, hashes: DataFrame, uuids: DataFrame) -> DataFrame:
+    """Distinct ids of turns (session, id, text_hash, uuid) that a compaction carried over, by text hash or by uuid of the session."""
+    by_hash = turns.join(hashes.select("session", "text_hash"), ["session", "text_hash"], "left_semi").select("session", "id")
+    return by_hash.union(turns.join(uuids.select("session", "uuid"), ["session", "uuid"], "left_semi").select("session", "id")).distinct()
+
+
+def packs(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
+    """rows with the number of the pack of `size` that each goes into, from 0, within by."""
+    return rows.withColumn("pack", F.floor((row_rank(by, *map(F.asc, order)) - 1) / size).cast("int"))

@@ -6,9 +6,10 @@ tests come before the parse, so most lines are never decoded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlog.functions.paths import base_name
 from lumenlog.functions.text import norm
 
 
@@ -117,3 +118,15 @@ def history_without_transcripts(typed: DataFrame, rollouts: DataFrame, turns: Da
     left = typed.join(rollouts.select("session_id").distinct(), "session_id", "left_anti")
     seen = turns.select(F.col("project"), norm(F.col("raw")).alias("key")).distinct()
     return left.withColumn("key", norm(F.col("raw"))).join(seen, ["project", "key"], "left_anti").drop("key")
+
+
+def rollout_copies(files: DataFrame, known: DataFrame) -> DataFrame:
+    """files (home, file, size) with kept, one a rollout's name: the copy known (file) already, else the larger, else the one not archived."""
+    f = files.join(known.select("file", F.lit(True).alias("known")).distinct(), "file", "left").withColumn("name", base_name(F.col("file")))
+    order = (F.col("known").desc_nulls_last(), F.desc("size"), F.col("file").contains("/archived_sessions/"), "file")
+    return f.withColumn("kept", F.row_number().over(Window.partitionBy("home", "name").orderBy(*order)) == 1).drop("known")
+
+
+def of_sessions(rows: DataFrame, verdicts: DataFrame, wanted: str = "interactive") -> DataFrame:
+    """Rows of files whose session got the verdict."""
+    return rows.join(verdicts.where(F.col("verdict") == wanted).select("file").distinct(), "file", "left_semi")
