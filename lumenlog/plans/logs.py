@@ -487,14 +487,31 @@ def owner_judge_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("id", "j.text", "j.reason")
 
 
-@query("owner_judge_corpus", f"WITH {T.STATEMENTS}, n AS (SELECT {T.norm_sql('text')} AS t FROM s WHERE NOT regexp_matches(text, '(?i)token|secret|password|api|bearer')) SELECT CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '\\d{{9,}}') THEN 'third-party' WHEN length(t) < 40 THEN 'too-short' ELSE 'kept' END AS reason, count(*) AS n, sum(CASE WHEN regexp_matches(t, '\\d{{9,}}') OR length(t) < 40 THEN 0 ELSE least(length(t), 4000) END)::BIGINT AS chars FROM n GROUP BY 1")
+def _redacted_sql(x: str) -> str:
+    for p in owner.SECRETS:
+        x = f"regexp_replace({x}, '{('(?s)' + p).replace(chr(39), chr(39) * 2)}', '{owner.REDACTED}', 'g')"
+    return x
+
+
+@query(
+    "owner_judge_corpus",
+    f"""WITH {T.STATEMENTS}, p AS (SELECT {T.norm_sql('text')} AS p FROM s), n AS (SELECT p, {T.norm_sql(_redacted_sql('p'))} AS t FROM p),
+  j AS (SELECT t, CASE WHEN p = '' THEN 'empty' WHEN t <> p AND trim(replace(t, '{owner.REDACTED}', '')) = '' THEN 'key-material' WHEN regexp_matches(t, '\\d{{9,}}') THEN 'third-party' WHEN length(t) < 40 THEN 'too-short' ELSE 'kept' END AS reason FROM n)
+SELECT reason, count(*) AS n, sum(CASE WHEN reason <> 'kept' THEN 0 WHEN length(t) > 4000 THEN 4000 ELSE length(t) END)::BIGINT AS chars FROM j GROUP BY 1""",
+)
 def owner_judge_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over whole statements, with how many each rule takes."""
-    s = T.statements(spark, sf).where(~F.col("text").rlike("(?i)token|secret|password|api|bearer"))
-    j = s.select(owner.judge(F.col("text")).alias("j")).select("j.text", F.coalesce("j.reason", F.lit("kept")).alias("reason"))
+    """The same over whole statements, secrets included, with how many each rule takes. Their texts have no envelopes, so the twin peels none."""
+    j = T.statements(spark, sf).select(owner.judge(F.col("text")).alias("j")).select("j.text", F.coalesce("j.reason", F.lit("kept")).alias("reason"))
     return j.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.when(F.col("text").isNull(), 0).otherwise(F.least(F.length("text"), F.lit(4000)))).cast("bigint").alias("chars"))
 
 
+@query("prose_corpus")
+def prose_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Prose of every statement, markup included: its length and hash (fences need a back reference, which SQL lacks)."""
+    prose = text.plain_prose(F.col("text"))
+    return T.statements(spark, sf).select("id", prose.alias("prose")).select("id", F.length("prose").alias("chars"), text.sha256_hex(F.col("prose")).alias("prose_sha256"))
+
+
 _PATHS = [
     ("/home/jo/www/org/app/src", "app"), ("/home/jo/www/app", "app"), ("/home/jo/proj/sub", "proj"), ("/home/jo/.config", None), ("/home/jo/Downloads/x", None), ("/opt/x", None),
     ("/home/jo/.tool/worktrees/ab12/repo/src", "repo"), ("/home/jo/repo/.worktrees/fix", "repo"), ("/home/jo/repo-worktrees/fix", "repo"), ("/home/jo/repo/.claude/worktrees/fix", "repo"), ("relative/path", None), ("/home/jo", None),

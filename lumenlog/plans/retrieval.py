@@ -357,8 +357,11 @@ _RANKED = f"SELECT 0 AS query_id, id % 7 AS session, id, text, ((id * 37) % 1009
 
 
 def _ranked_all(spark: SparkSession, sf: str) -> DataFrame:
-    s = T.statements(spark, sf).select(F.lit(0).alias("query_id"), (F.col("id") % 7).alias("session"), "id", "text", (((F.col("id") * 37) % 1009) / 1009.0).alias("score"))
-    return s.withColumn("rank", ranking.row_rank(["query_id"], F.desc((F.col("id") * 37) % 1009), F.asc("id")))
+    """All statements in one order. Numbers alone are ranked; texts are joined to them afterwards."""
+    s = T.statements(spark, sf)
+    n = s.select(F.lit(0).alias("query_id"), (F.col("id") % 7).alias("session"), "id", (((F.col("id") * 37) % 1009) / 1009.0).alias("score"))
+    ranked = n.withColumn("rank", ranking.row_rank(["query_id"], F.desc((F.col("id") * 37) % 1009), F.asc("id")))
+    return ranked.join(s.select("id", "text"), "id")
 
 
 @query("no_repeat", f"WITH {T.STATEMENTS}, r AS ({_RANKED}), told AS (SELECT DISTINCT user_id % 7 AS session, CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 AS id FROM events), tk AS (SELECT DISTINCT session, lower({T.norm_sql('text')}) AS key FROM told JOIN s USING (id)) SELECT id, session, rank FROM r WHERE NOT EXISTS (SELECT 1 FROM told WHERE told.session = r.session AND told.id = r.id) AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.session = r.session AND tk.key = lower({T.norm_sql('r.text')}))")
