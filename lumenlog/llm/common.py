@@ -111,10 +111,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (id, root), root the smallest id reachable.
 
-    Alternating large-star and small-star steps on staged tables until nothing changes. Minima are
-    combined before they are sent; a hub's neighbours are rows of its join, which Spark splits where skewed.
+    Edges become stars within the tasks that find them, then within tasks of `EDGES` edges each for as
+    long as a quarter goes. Alternating large-star and small-star steps on staged tables follow until
+    nothing changes. Minima are combined before they are sent; a hub's neighbours are rows of its join,
+    which Spark splits where skewed.
     """
-    e = stage(in_arrow(edges.where("a <> b").select("a", "b"), _contract, "u long, v long").distinct(), "edges")
+    e = stage(in_arrow(edges.where("a <> b").select("a", "b"), _contract, "u long, v long"), "edges")
+    left = e.count()
+    while left:
+        tasks, before = -(-left // EDGES), left
+        e = stage(in_arrow(e.coalesce(tasks), _contract, "u long, v long"), "edges")
+        left = e.count()
+        if tasks == 1 or 4 * left > 3 * before:
+            break
     before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

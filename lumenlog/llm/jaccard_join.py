@@ -393,7 +393,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     w = Window.partitionBy("sig").orderBy("n", "set1")
     near = signed.withColumn("p", F.lag("set1").over(w)).withColumn("pn", F.lag("n").over(w)).withColumn("f", F.lead("set1").over(w)).where("p <> set1 or f <> set1")
     buckets = stage(near.withColumn("bucket", F.count("*").over(Window.partitionBy("sig"))).select("sig", "set1", "cls", "n", "bucket", "p", "pn"), "buckets")
-    edges = stage(buckets.where(f"p <> set1 and 100 * pn >= {percent} * n").select(_node("set1", F.col("cls")).alias("a"), _node("p", F.col("cls")).alias("b")).distinct(), "candidates")
+    edges = buckets.where(f"p <> set1 and 100 * pn >= {percent} * n").select(_node("set1", F.col("cls")).alias("a"), _node("p", F.col("cls")).alias("b"))
     blocks = stage(components(edges).select(F.col("id").alias("node"), F.col("root").alias("block")), "blocks")
     one = stage(ids.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("cls").alias("cls")).where("rep is not null"), "classes")
     members = one.withColumn("cls", F.explode(F.array("cls", F.col("cls") + 1))).withColumn("node", _node("set1", F.col("cls"))).join(blocks, "node").select("rep", "set1", "cls", "n", "block")

@@ -169,3 +169,11 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 20: 20, 21: 20, 22: 20} | {100 + i: 100 for i in range(31)}
     assert got == want
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "EDGES", 40)  # the driver's share: how many tasks contract what is left
+    chain = [(i, i + 1) for i in range(300)] + [(1000 + i % 7, 1000 + i) for i in range(200)]
+    edges = spark.createDataFrame(chain, "a long, b long").repartition(16, "b")
+    got = dict(map(tuple, common.components(edges).collect()))
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 + i % 7 for i in range(200)}
