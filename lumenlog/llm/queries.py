@@ -16,6 +16,7 @@ NAMES = {
     "op8_language_id": ("language_id", "op8"),
     "op9_quality": ("quality", "op9"),
     "op10_warc": ("warc", "op10"),
+    "op11_spelling": ("spelling", "op11"),
 }
 
 
