@@ -17,6 +17,7 @@ NAMES = {
     "op9_quality": ("quality", "op9"),
     "op10_warc": ("warc", "op10"),
     "op11_spelling": ("spelling", "op11"),
+    "op12_suffix_dedup": ("suffix_dedup", "op12"),
     "op13_resampling": ("resampling", "op13"),
 }
 
