@@ -43,6 +43,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that stage() gave, whose readers are done; what is built on it must be staged by then."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = next((i for i, (_, p) in enumerate(_MADE) if p.rstrip("/").rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]), None)
+        if at is not None:
+            spark, made = _MADE.pop(at)
+            p = spark._jvm.org.apache.hadoop.fs.Path(made)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release() -> None:
     """Delete the stage tables of this driver; called at exit, and safe to call once their readers are done."""
     while _MADE:

@@ -6,10 +6,10 @@ The steps:
    equal windows have equal anchors. A run of consecutive windows with one anchor is a row (key, context): the key
    is the anchor's gram, the context all bytes that the run's windows cover. Windows whose key occurs once repeat
    nowhere and go no further.
-2. *Shards.* Of each distinct context up to two occurrences are cut out and dealt by key. A task joins what it
-   gets to shards of about `SHARD` bytes, and each shard gets its suffix array by Larsson-Sadakane refinement:
-   suffixes are sorted by their first seven bytes, then only groups not yet sorted are refined, by the ranks of
-   the suffixes 7, 14, 28, ... places further on. Kasai's walk in text order, one lane for each slice, gives the
+2. *Shards.* Of each distinct context up to two occurrences are cut out and dealt by key; where their bytes are
+   equal they go on as one slice that occurs twice. A task joins what it gets to shards of about `SHARD` bytes, and
+   each shard gets its suffix array by Larsson-Sadakane refinement: suffixes are sorted by their first four bytes,
+   then only groups not yet sorted are refined, by the ranks of the suffixes 4, 8, 16, ... places further on. Kasai's walk in text order, one lane for each slice, gives the
    prefix each suffix shares with the one before it.
 3. *Merging.* A key whose contexts go over a shard's border has suffixes in several arrays. Each suffix of the
    later shard is placed in the earlier arrays by binary search and compared with both neighbours there.
@@ -32,16 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import _BASE, _BYTE, _powers, in_arrow, load, mix, slices, stage
+from lumenlog.llm.common import _BASE, _BYTE, _powers, drop, in_arrow, load, mix, slices, stage
 
 WIDTH = 200
 #: Bytes of the grams that anchor windows, at each length of keys; the last is a whole window.
 GRAMS = (64, 176, WIDTH)
 #: Contexts of a key up to which one task takes it, bytes of a shard, bytes of a long text's piece.
-CONTEXTS, SHARD, PIECE = 10_000, 2 << 20, 1 << 22
+CONTEXTS, SHARD, PIECE = 10_000, 1 << 20, 1 << 22
 #: Symbols (byte + 1, 0 past the end) that one integer key holds.
 PACKED = 7
 
@@ -124,43 +125,49 @@ def _cut_out(width: int):
 
 def packed(data: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The next `PACKED` symbols from each place on as one integer; end: where the slice of each place ends."""
-    out, at = np.zeros(len(data), np.int64), np.arange(len(data))
+    out, left = np.zeros(len(data), np.int64), end - np.arange(len(data))
+    symbol = data.astype(np.int64) + 1
     for i in range(PACKED):
         out <<= 9
         n = max(0, len(data) - i)
-        out[:n] += np.where(at[:n] + i < end[:n], data[i:].astype(np.int64) + 1, 0)
+        out[:n] += np.where(left[:n] > i, symbol[i:], 0)
     return out
 
 
 def suffix_array(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, packed symbols) of slices end to end, by Larsson-Sadakane refinement.
 
-    A slice's end is smaller than any byte, and ends are ordered by place.
+    A slice's end is smaller than any byte, and ends are ordered by place. Sort keys are (symbols or ranks, place) in
+    one integer, so that a plain sort does; a shard has at most 2**21 bytes for that.
     """
     size = np.diff(first)
-    n, end = len(data), np.repeat(first[1:], size)
+    n, end, place = len(data), np.repeat(first[1:], size), (1 << 21) - 1
+    if n > place:
+        raise ValueError(f"a shard of {n} bytes")
     word = packed(data, end)
-    sa = np.argsort(word)
-    new = np.append(True, word[sa[1:]] != word[sa[:-1]])
+    at = np.arange(n)
+    h = 4  # symbols of nine bits that leave room for the place
+    by = np.sort((word >> 9 * (PACKED - h)) << 21 | at)
+    sa = by & place
+    by >>= 21
+    new = np.append(True, by[1:] != by[:-1])
     rank = np.empty(n, np.int64)  # a group's number is the place of its first member, from 1 on
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
-    h, longest = PACKED, int(size.max(initial=0))
+    rank[sa] = np.maximum.accumulate(np.where(new, at + 1, 0))
+    longest = int(size.max(initial=0))
     while True:
         unsorted = np.flatnonzero(~(new & np.append(new[1:], True)))
-        if not len(unsorted):
+        if not len(unsorted) or h >= longest:  # what ties to its end is in the order of places already
             return sa, word
         s = sa[unsorted]
         nxt = s + h
-        by = np.where(nxt < end[s], rank[np.minimum(nxt, n - 1)], 0) if h < longest else s  # what ties to its end goes by place
-        both = rank[s] * np.int64(n + 1) + by
-        order = np.argsort(both)
-        s, both = s[order], both[order]
+        then = np.where(nxt < end[s], rank[np.minimum(nxt, n - 1)], 0)
+        by = np.sort(rank[s] << 42 | then << 21 | s)
+        s = by & place
+        by >>= 21
         sa[unsorted] = s
-        first_of = np.append(True, both[1:] != both[:-1])
+        first_of = np.append(True, by[1:] != by[:-1])
         new[unsorted] = first_of
         rank[s] = np.maximum.accumulate(np.where(first_of, unsorted + 1, 0))
-        if h >= longest:
-            return sa, word
         h *= 2
 
 
@@ -202,11 +209,27 @@ def kasai(leaf: np.ndarray, order: np.ndarray, word: np.ndarray, first: np.ndarr
 
 
 class Shard:
-    """Some slices (key, context, copy, text) with their suffix array, and the places at which repeated windows start."""
+    """Some slices (key, context, copy, text), by key and context, with their suffix array and the places at which repeated windows start.
+
+    Two copies of a context whose bytes are equal are one slice that occurs twice. A key that has one slice, and
+    none in another shard, has nothing to be compared with and stays out of the array.
+    """
 
     def __init__(self, rows: pa.Table, width: int):
-        self.rows, self.width = rows, width
-        self.key = rows.column("key").to_numpy()
+        self.width = width
+        key, context, text = (rows.column(c).combine_chunks() for c in ("key", "context", "text"))
+        number = key.to_numpy()
+        self.first_key, self.last_key = (number[0], number[-1]) if len(number) else (None, None)
+        same = pc.and_(pc.and_(pc.equal(key[1:], key[:-1]), pc.equal(context[1:], context[:-1])), pc.equal(text[1:], text[:-1])).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero(~np.append(False, same)) if len(number) else np.zeros(0, np.int64)
+        many = np.append(same, False)[kept] if len(number) else np.zeros(0, bool)
+        number = number[kept]
+        edge = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else kept
+        counts = np.diff(np.append(edge, len(number)))
+        alone = (np.repeat(counts, counts) == 1) & (number != self.first_key) & (number != self.last_key)
+        self.twins = rows.take(pa.array(kept[alone & many]))
+        rows = rows.take(pa.array(kept[~alone]))
+        self.rows, self.key = rows, number[~alone]
         self.data, self.first = _flat(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.binary()))
         size = np.diff(self.first)
         self.owner = np.repeat(np.arange(len(size)), size)
@@ -216,7 +239,7 @@ class Shard:
         self.order = sa[self.leaf[sa]]
         lcp = kasai(self.leaf, self.order, self.word, self.first, width)[self.order]
         with_next = np.append(lcp[1:], 0) if len(lcp) else lcp
-        self.again = np.zeros(len(at), bool)
+        self.again = many[~alone][self.owner] & self.leaf if len(at) else np.zeros(0, bool)
         self.again[self.order[(lcp >= width) | (with_next >= width)]] = True
 
     def of_key(self, key: int) -> np.ndarray:
@@ -258,7 +281,7 @@ class Shard:
                 break
         return out
 
-    def ranges(self) -> pa.RecordBatch:
+    def ranges(self) -> list[pa.RecordBatch]:
         """Ranges of bytes of the slices' contexts that repeated windows cover."""
         cover = np.zeros(len(self.data) + 1, np.int64)
         at = np.flatnonzero(self.again)
@@ -271,7 +294,10 @@ class Shard:
         lo, hi = at[gone[at]], np.append(at[1:], len(gone))[gone[at]]
         who = self.owner[lo] if len(lo) else lo
         found = [self.rows.column(c).take(pa.array(who)).combine_chunks() for c in ("key", "context")]
-        return pa.RecordBatch.from_arrays([*found, *(pa.array((x - self.first[who]).astype(np.int32)) for x in (lo, hi))], ["key", "context", "from", "to"])
+        part = pa.Table.from_arrays([*found, *(pa.array((x - self.first[who]).astype(np.int32)) for x in (lo, hi))], ["key", "context", "from", "to"])
+        ends = pc.binary_length(self.twins.column("text")).cast(pa.int32())
+        whole = pa.Table.from_arrays([self.twins.column("key"), self.twins.column("context"), pa.array(np.zeros(len(ends), np.int32)), ends], part.column_names)
+        return pa.concat_tables([part, whole]).combine_chunks().to_batches()
 
 
 def _sharded(width: int, most: int):
@@ -285,26 +311,25 @@ def _sharded(width: int, most: int):
             nonlocal open_, held
             new = Shard(pa.Table.from_batches(held).combine_chunks(), width)
             held = []
-            key = new.key[0]
-            if open_ and open_[-1].key[-1] == key:
+            if open_ and open_[-1].last_key == new.first_key:
                 for old in open_:
-                    old.merge(new, key)
-            if open_ and open_[-1].key[-1] == new.key[-1]:
+                    old.merge(new, new.first_key)
+            if open_ and open_[-1].last_key == new.last_key:
                 open_.append(new)  # one key goes through it
                 return
             for old in open_:
-                yield old.ranges()
+                yield from old.ranges()
             open_ = [new]
 
         for b in batches:
-            for x in slices(b, "text"):
+            for x in slices(b, "text", most):
                 held.append(x)
                 if sum(h.column("text").nbytes for h in held) >= most:
                     yield from shard()
         if held:
             yield from shard()
         for old in open_:
-            yield old.ranges()
+            yield from old.ranges()
 
     return run
 
@@ -314,7 +339,9 @@ def repeats(texts: DataFrame, width: int = WIDTH, grams: tuple[int, ...] = GRAMS
     k, id_type = grams[0], texts.schema["id"].dataType.simpleString()
     keys = in_arrow(texts, _anchored(width, k, False), "key long").groupBy("key").count().where("count > 1").select("key")
     every = in_arrow(texts, _anchored(width, k, True), f"key long, context long, id {id_type}, lo long, more short")  # cheaper to make twice than to keep
-    found = stage(every.join(stage(keys, "keys"), "key", "left_semi"), "runs")
+    keys = stage(keys, "keys")
+    found = stage(every.join(keys, "key", "left_semi"), "runs")
+    drop(keys)
     one = F.struct("id", "lo", "more")
     each = found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.max(one).alias("two"))
     each = stage(each, "contexts")
@@ -328,13 +355,15 @@ def repeats(texts: DataFrame, width: int = WIDTH, grams: tuple[int, ...] = GRAMS
         return in_arrow(texts.join(listed.hint("shuffle_hash"), "id"), _cut_out(width), "key long, context long, copy int, text binary")
 
     live = stage(live, "slices")
+    drop(each)
     narrow = live.where(F.col("contexts") <= contexts) if len(grams) > 1 else live
-    ranges = in_arrow(sliced(narrow).repartition("key").sortWithinPartitions("key"), _sharded(width, shard), "key long, context long, from int, to int")
+    ranges = in_arrow(sliced(narrow).repartition("key").sortWithinPartitions("key", "context", "copy"), _sharded(width, shard), "key long, context long, from int, to int")
     if len(grams) > 1 and not (wide := live.where(F.col("contexts") > contexts)).isEmpty():
         again = stage(sliced(wide).select(F.struct("key", "context", "copy").alias("id"), "text"), "wide")
         ranges = ranges.union(repeats(again, width, grams[1:], contexts, shard).select("id.key", "id.context", F.col("lo").cast("int"), F.col("hi").cast("int")))
     # two copies of a context may have repeats each that the other hasn't shown, so a context may have its ranges twice
     ranges = stage(ranges.distinct(), "ranges")
+    drop(live)
     return found.join(ranges, ["key", "context"]).select("id", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
 
 

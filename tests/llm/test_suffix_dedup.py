@@ -36,7 +36,7 @@ def test_array_and_merging_equal_brute_force(alphabet):
         suffixes = sorted((tuple(x + 1 for x in t[j:]) + (0,), int(first[i]) + j) for i, t in enumerate(texts) for j in range(len(t)))
         assert S.suffix_array(data, first)[0].tolist() == [p for _, p in suffixes]
         assert S.Shard(table(texts), width).again.tolist() == repeated(texts, width)
-        cut = rng.randint(0, len(texts))
+        cut = rng.randint(1, len(texts))
         a, b = S.Shard(table(texts[:cut]), width), S.Shard(table(texts[cut:]), width)
         a.merge(b, 5)
         assert a.again.tolist() + b.again.tolist() == repeated(texts, width)
