@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lumenlog.functions import scoring as S
 from lumenlog.functions.text import DOC_CLIP, clip, tokenize
 from lumenlog.functions.vectors import dot
+from lumenlog.operators import lexical
+from lumenlog.operators.order import total_order
 
 DIGITS = 9
 
@@ -48,36 +50,34 @@ def lengths(statements: DataFrame) -> DataFrame:
 
 
 def bm25(visible: DataFrame, queries: DataFrame, statements: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) for every visible pair (query_id, id, len): zero where no term is shared.
+    """visible pairs (query_id, id, ...) with bm25: zero where no term is shared.
 
-    Document frequency, their number and average length are those of what the query may see. Only the
-    queries' terms are looked up in the documents. A pair's hits are at most its query's terms.
+    Document frequency, their number and average length are those of what the query may see, by the index's
+    prefix counts; only pairs with a shared term are scored.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("situation")))).alias("term"))
-    tokens = statements.select("id", F.explode(tokenize(clip(F.col("text"), DOC_CLIP))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    seen = tf.join(q, "term").join(visible.select("query_id", "id"), ["query_id", "id"]).withColumn("df", F.count("*").over(Window.partitionBy("query_id", "term")))
-    hits = seen.groupBy("query_id", "id").agg(F.collect_list(F.struct("tf", "df")).alias("hits"))
-    everything = Window.partitionBy("query_id")
-    all_ = visible.join(hits, ["query_id", "id"], "left").withColumn("n", F.count("*").over(everything)).withColumn("avg", F.avg("len").over(everything))
-    score = F.aggregate("hits", F.lit(0.0), lambda s, h: s + S.bm25_term(h["tf"], h["df"], F.col("len"), F.col("n"), F.col("avg")))
-    return all_.withColumn("bm25", F.round(F.coalesce(score, F.lit(0.0)), DIGITS)).drop("hits", "n", "avg")
+    postings, lengths = lexical.index(statements)
+    scored = lexical.scores(postings, queries, lexical.statistics(postings, lengths, queries), DIGITS)
+    return visible.join(scored, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
 def bm25_rank() -> Column:
     return row_rank(["query_id"], F.desc("bm25"), F.asc("id"))
 
 
-def thread_rank() -> Column:
-    """Newest first among the query's own thread; null elsewhere."""
-    same = F.coalesce(F.col("session_id") == F.col("thread_id"), F.lit(False))
-    return F.when(same, F.row_number().over(Window.partitionBy("query_id", same).orderBy(F.desc("micros"), F.desc("id"))))
+def thread_rank(pairs: DataFrame) -> DataFrame:
+    """pairs with thread_rank, newest first among the query's own thread; null elsewhere."""
+    own = pairs.where(F.col("session_id") == F.col("thread_id")).select("query_id", "id", row_rank(["query_id"], F.desc("micros"), F.desc("id")).alias("thread_rank"))
+    return pairs.join(own, ["query_id", "id"], "left")
 
 
 def ranks(visible: DataFrame, queries: DataFrame, statements: DataFrame) -> DataFrame:
-    """Visible pairs with cos, bm25 and the three ranks."""
-    scored = bm25(cosine(visible), queries, statements)
-    return scored.withColumn("emb_rank", emb_rank()).withColumn("bm25_rank", bm25_rank()).withColumn("thread_rank", thread_rank())
+    """Visible pairs with cos, bm25, their places among all that their query sees by each, and thread_rank.
+
+    No task holds all that one query sees: each order goes over range partitions.
+    """
+    scored = bm25(cosine(visible).drop("qvec", "vec"), queries, statements)
+    by_emb = total_order(scored, ["query_id"], F.desc("cos"), F.asc("micros"), F.asc("id"), name="emb_rank")
+    return thread_rank(total_order(by_emb, ["query_id"], F.desc("bm25"), F.asc("id"), name="bm25_rank"))
 
 
 def prefilter(ranked: DataFrame, emb: int = S.TOP_EMB, lexical: int = S.TOP_BM25, thread: int = S.TOP_THREAD) -> DataFrame:
@@ -125,3 +125,23 @@ def rrf_lists(lists: DataFrame, top: int = S.COMPOSE["hyde_top"], k: int = S.COM
     """(query_id, list, id, micros, rank) -> fused (query_id, id, score, rank) over any number of lists."""
     fused = lists.where(F.col("rank") <= top).groupBy("query_id", "id", "micros").agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12).alias("score"))
     return fused.withColumn("rank", row_rank(["query_id"], F.desc("score"), F.asc("micros"), F.asc("id")))
+
+
+def hyde(visible: DataFrame, texts: DataFrame, ranked: DataFrame, top: int = S.COMPOSE["hyde_top"]) -> DataFrame:
+    """Fused (query_id, id, score, rank) of the lists of a case's generated texts (query_id, texts: (list, hvec)) and its own two lists.
+
+    A pair's inner products with all of its case's texts are taken in one row; lists are cut before they are fused.
+    """
+    pairs = visible.select("query_id", "id", "micros", "vec").join(texts, "query_id")
+    each = pairs.select("query_id", "id", "micros", F.transform("texts", lambda t: F.struct(t["list"].alias("list"), F.round(dot(t["hvec"], F.col("vec")), DIGITS).alias("cos"))).alias("x"))
+    each = each.select("query_id", "id", "micros", F.explode("x").alias("x")).select("query_id", "id", "micros", "x.list", "x.cos")
+    near = each.withColumn("rank", row_rank(["query_id", "list"], F.desc("cos"), F.asc("micros"), F.asc("id"))).where(F.col("rank") <= top)
+    own = [ranked.where(F.col(c) <= top).select("query_id", F.lit(name).alias("list"), "id", "micros", F.col(c).alias("rank")) for name, c in ((-1, "emb_rank"), (-2, "bm25_rank"))]
+    return rrf_lists(near.select("query_id", "list", "id", "micros", "rank").union(own[0]).union(own[1]), top)
+
+
+def with_durability(rows: DataFrame, durability: DataFrame) -> DataFrame:
+    """rows with durable, the table's p of their id: null is a refusal, an id that the table lacks is an error."""
+    held = durability.select("id", F.col("p").alias("durable"), F.lit(True).alias("known"))
+    lack = F.raise_error(F.concat(F.lit("no durability for "), F.col("id").cast("string"))).cast("double")
+    return rows.join(held, "id", "left").withColumn("durable", F.when(F.col("known"), F.col("durable")).otherwise(lack)).drop("known")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import scoring as S
 from lumenlog.functions.text import DOC_CLIP, clip, tokenize
-from lumenlog.operators import eligibility, ranking, selection, sessions
+from lumenlog.operators import eligibility, lexical, ranking, selection, sessions
+from lumenlog.operators.order import total_order
 from lumenlog.plans import stand_ins as T
 from lumenlog.plans.catalog import query
 
@@ -82,20 +83,40 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return selection.gate(top, "cos", 0.1).select("query_id", "id", F.round("cos", 6).alias("cos"), "emb_rank")
 
 
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases, and postings and lengths of the searchable statements."""
+    corpus, _ = ranking.corpus(T.statements(spark, sf), T.embeddings(spark, sf))
+    return T.cases(spark, sf), *lexical.index(corpus)
+
+
 @query("bm25_docfreq", f"WITH {BM25} SELECT query_id, term, df FROM df")
 def bm25_docfreq(spark: SparkSession, sf: str) -> DataFrame:
-    """Document frequency of each query term among what the query may see."""
-    cases, corpus, visible = _base(spark, sf)
-    q = cases.select("query_id", F.explode(F.array_distinct(tokenize(F.col("situation")))).alias("term"))
-    t = corpus.select("id", F.explode(F.array_distinct(tokenize(clip(F.col("text"), DOC_CLIP)))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    return t.join(q, "term").join(visible.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    """Document frequency of each query term among what the query may see, from prefix counts of the index."""
+    cases, postings, lengths = _index(spark, sf)
+    return lexical.document_frequency(lexical.statistics(postings, lengths, cases))
+
+
+@query("bm25_statistics", f"WITH {BM25} SELECT query_id, n, round(avg, 9) AS avg FROM st")
+def bm25_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Number and average length of what each query may see, as of its decision."""
+    cases, postings, lengths = _index(spark, sf)
+    return lexical.statistics(postings, lengths, cases).where("term = '' and n > 0").select("query_id", "n", F.round(F.col("total") / F.col("n"), 9).alias("avg"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25, bm25_rank::INT AS bm25_rank FROM r WHERE bm25_rank <= 60")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 60 best by BM25: only statements that share a term with a case meet it, unless those are too few."""
+    cases, postings, lengths = _index(spark, sf)
+    scored = lexical.scores(postings, cases, lexical.statistics(postings, lengths, cases))
+    return lexical.top(scored, cases, lengths, S.TOP_BM25).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
+
+
+@query("full_ranks", f"WITH {BM25} SELECT query_id, id, emb_rank::INT AS emb_rank, bm25_rank::INT AS bm25_rank, row_number() OVER (PARTITION BY query_id ORDER BY micros DESC, id DESC)::INT AS recency_rank FROM r")
+def full_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every visible pair's place by embedding, BM25 and recency."""
     cases, corpus, visible = _base(spark, sf)
-    top = ranking.bm25(visible, cases, corpus).withColumn("bm25_rank", ranking.bm25_rank()).where(F.col("bm25_rank") <= S.TOP_BM25)
-    return top.select("query_id", "id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
+    ranked = total_order(ranking.ranks(visible, cases, corpus), ["query_id"], F.desc("micros"), F.desc("id"), name="recency_rank")
+    return ranked.select("query_id", "id", "emb_rank", "bm25_rank", "recency_rank")
 
 
 @query("prefilter_union", f"WITH {PREFILTER} SELECT query_id, id, emb_rank::INT AS emb_rank, bm25_rank::INT AS bm25_rank, thread_rank::INT AS thread_rank FROM pf")
@@ -171,23 +192,28 @@ def rerank_head_tail(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "id", "new_rank", F.when(F.col("new_rank") <= 20, F.col("top") - F.col("new_rank") + 1).otherwise(20 - F.col("new_rank")).cast("int").alias("score"))
 
 
-@query(
-    "hyde_multilist_rrf",
-    f"""WITH {BM25}, hy AS (SELECT er.query_id, l AS list, er.id, er.micros, row_number() OVER (PARTITION BY er.query_id, l ORDER BY round({_DOT.format(a='h.embedding', b='er.vec')}, 9) DESC, er.micros, er.id) AS rank FROM er, unnest([0, 1, 2, 3, 4, 5, 6, 7]) t(l) JOIN embeddings h ON h.vec_id = (er.query_id * 3 + l + 1) % 500),
+# The stand-ins for the eight generated texts have vectors of the table, other ones for each case.
+HYDE = f"""hy AS (SELECT er.query_id, l AS list, er.id, er.micros, row_number() OVER (PARTITION BY er.query_id, l ORDER BY round({_DOT.format(a='h.embedding', b='er.vec')}, 9) DESC, er.micros, er.id) AS rank
+    FROM er, unnest([0, 1, 2, 3, 4, 5, 6, 7]) t(l) JOIN embeddings h ON h.vec_id = (er.query_id * 8 + l) * 7 % (SELECT max(vec_id) + 1 FROM embeddings)),
   al AS (SELECT query_id, list, id, micros, rank FROM hy UNION ALL SELECT query_id, 8, id, micros, emb_rank FROM r UNION ALL SELECT query_id, 9, id, micros, bm25_rank FROM r),
-  fu AS (SELECT query_id, id, micros, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM al WHERE rank <= 1000 GROUP BY ALL), fk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, micros, id) AS rank FROM fu)
-SELECT query_id, id, round(score, 8) AS score, rank::INT AS rank FROM fk WHERE rank <= 300""",
-)
+  fu AS (SELECT query_id, id, micros, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM al WHERE rank <= 1000 GROUP BY ALL), fk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, micros, id) AS rank FROM fu)"""
+
+
+def _hyde(spark: SparkSession, sf: str, cases: DataFrame, visible: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query_id, id, score, rank): the eight generated texts' lists fused with the embedding and BM25 lists."""
+    e = T.embeddings(spark, sf)
+    n = e.agg(F.max("id") + 1).first()[0] or 1
+    h = cases.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("list")).withColumn("vec_id", (F.col("query_id") * 8 + F.col("list")) * 7 % n)
+    h = h.join(e.select(F.col("id").alias("vec_id"), F.col("vec").alias("hvec")), "vec_id").groupBy("query_id").agg(F.collect_list(F.struct("list", "hvec")).alias("texts"))
+    return ranking.hyde(visible, h, ranked)
+
+
+@query("hyde_multilist_rrf", f"WITH {BM25}, {HYDE} SELECT query_id, id, round(score, 8) AS score, rank::INT AS rank FROM fk WHERE rank <= 300")
 def hyde_multilist_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight generated texts' lists with the embedding and BM25 lists, fused. The stand-in texts have vectors of the table."""
+    """Eight generated texts' lists with the embedding and BM25 lists, fused."""
     cases, corpus, visible = _base(spark, sf)
-    ranked = ranking.ranks(visible, cases, corpus)
-    h = cases.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("list")).withColumn("vec_id", (F.col("query_id") * 3 + F.col("list") + 1) % 500)
-    h = h.join(T.embeddings(spark, sf).select(F.col("id").alias("vec_id"), F.col("vec").alias("hvec")), "vec_id").drop("vec_id")
-    near = ranking.cosine(visible.select("query_id", "id", "micros", "vec").join(F.broadcast(h), "query_id").withColumnRenamed("hvec", "qvec"))
-    own = near.withColumn("rank", ranking.row_rank(["query_id", "list"], F.desc("cos"), F.asc("micros"), F.asc("id"))).select("query_id", "list", "id", "micros", "rank")
-    lists = own.union(ranked.select("query_id", F.lit(8), "id", "micros", "emb_rank")).union(ranked.select("query_id", F.lit(9), "id", "micros", "bm25_rank"))
-    return ranking.rrf_lists(lists).where(F.col("rank") <= S.COMPOSE["hyde"]).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
+    fused = _hyde(spark, sf, cases, visible, ranking.ranks(visible, cases, corpus))
+    return fused.where(F.col("rank") <= S.COMPOSE["hyde"]).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
 
 
 # ---- sessions and composed plans ------------------------------------------------
@@ -247,24 +273,26 @@ def _compose_sql(lean: bool) -> str:
         x = f"({raw[f]})::DOUBLE"
         terms.append(f"(coalesce({x}, {m['medians'][j]!r}::DOUBLE) - {m['means'][j]!r}::DOUBLE) / {m['scales'][j]!r}::DOUBLE * ({m['coefficients'][j]!r})::DOUBLE + CASE WHEN {x} IS NULL THEN ({m['missing'][j]!r})::DOUBLE ELSE 0 END")
     wide = "" if lean else " OR hyde_rank <= 300 OR durable >= 0.3"
-    return f"""{JUDGE}, {NODES}, it AS (SELECT ch.*, node_p, node_rank, row_number() OVER (PARTITION BY ch.query_id ORDER BY micros DESC, ch.id DESC) AS recency_rank, CASE WHEN ch.id % 3 = 0 THEN (ch.id * 37 + ch.query_id) % 400 + 1 END AS hyde_rank,
-  CASE WHEN ch.id % 6 = 0 THEN NULL ELSE (ch.id % 10) / 10.0::DOUBLE END AS durable, CASE WHEN (ch.id + ch.query_id) % 13 = 0 THEN NULL ELSE CASE WHEN coalesce(shared, 0) >= 2 THEN 0.99 ELSE 0.04 END - (ch.id % 5) * 0.002 END::DOUBLE AS p
-  FROM ch JOIN nk USING (query_id, session_id, start) LEFT JOIN sh ON sh.query_id = ch.query_id AND sh.id = ch.id),
+    more = "" if lean else f"{HYDE}, {T.DURABLE}, "
+    return f"""{JUDGE}, {NODES}, {more}it AS (SELECT ch.*, node_p, node_rank, row_number() OVER (PARTITION BY ch.query_id ORDER BY ch.micros DESC, ch.id DESC) AS recency_rank{', fk.rank AS hyde_rank, durable.p AS durable' if not lean else ''},
+  CASE WHEN (ch.id + ch.query_id) % 13 = 0 THEN NULL ELSE CASE WHEN coalesce(shared, 0) >= 2 THEN 0.99 ELSE 0.04 END - (ch.id % 5) * 0.002 END::DOUBLE AS p
+  FROM ch JOIN nk USING (query_id, session_id, start) LEFT JOIN sh ON sh.query_id = ch.query_id AND sh.id = ch.id{' LEFT JOIN fk ON fk.query_id = ch.query_id AND fk.id = ch.id AND fk.rank <= 300 JOIN durable ON durable.id = ch.id' if not lean else ''}),
 li AS (SELECT *, round({' + '.join(terms)}, 9) AS linear FROM it WHERE node_rank <= 32 OR emb_rank <= 300 OR bm25_rank <= 100{wide}),
 lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY linear DESC, micros, id) AS rank FROM li)"""
 
 
 def _linear(spark: SparkSession, sf: str, lean: bool) -> DataFrame:
     cases, corpus, visible = _base(spark, sf)
-    t = _judged(_routed(ranking.ranks(visible, cases, corpus)), cases, corpus)
-    t = t.withColumn("recency_rank", ranking.row_rank(["query_id"], F.desc("micros"), F.desc("id")))
-    t = t.withColumn("hyde_rank", F.when(F.col("id") % 3 == 0, (F.col("id") * 37 + F.col("query_id")) % 400 + 1)).withColumn("durable", F.when(F.col("id") % 6 != 0, (F.col("id") % 10) / 10.0))
-    least = S.COMPOSE
+    ranked = total_order(ranking.ranks(visible, cases, corpus), ["query_id"], F.desc("micros"), F.desc("id"), name="recency_rank")
+    t = _judged(_routed(ranked), cases, corpus)
+    least, i = S.COMPOSE, S.inverse_log_rank
     keep = (F.coalesce("node_rank", F.lit(1 << 30)) <= least["nodes"]) | (F.col("emb_rank") <= least["emb"]) | (F.col("bm25_rank") <= least["bm25"])
+    raw = {"d": F.col("p"), "node": F.col("node_p"), "embedding": i(F.col("emb_rank")), "bm25": i(F.col("bm25_rank")), "same_thread": F.coalesce((F.col("session_id") == F.col("thread_id")).cast("double"), F.lit(0.0)), "recency": i(F.col("recency_rank"))}
     if not lean:
-        keep = keep | F.coalesce(F.col("hyde_rank") <= least["hyde"], F.lit(False)) | F.coalesce(F.col("durable") >= least["durable"], F.lit(False))
-    i = S.inverse_log_rank
-    raw = {"d": F.col("p"), "node": F.col("node_p"), "embedding": i(F.col("emb_rank")), "bm25": i(F.col("bm25_rank")), "hyde": i(F.col("hyde_rank")), "durable": F.col("durable"), "same_thread": F.coalesce((F.col("session_id") == F.col("thread_id")).cast("double"), F.lit(0.0)), "recency": i(F.col("recency_rank"))}
+        hyde = _hyde(spark, sf, cases, visible, ranked).where(F.col("rank") <= least["hyde"]).select("query_id", "id", F.col("rank").alias("hyde_rank"))
+        t = ranking.with_durability(t.join(hyde, ["query_id", "id"], "left"), T.durability(spark, sf))
+        keep = keep | F.col("hyde_rank").isNotNull() | F.coalesce(F.col("durable") >= least["durable"], F.lit(False))
+        raw |= {"hyde": i(F.col("hyde_rank")), "durable": F.col("durable")}
     t = t.where(keep).withColumn("linear", F.round(S.linear_model("compose-lean" if lean else "compose", raw), 9))
     return t.withColumn("rank", ranking.row_rank(["query_id"], F.desc("linear"), F.asc("micros"), F.asc("id")))
 

@@ -30,6 +30,11 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def durability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, p) for every statement, null where the model refused: how likely it holds for long. A rule over lengths stands in for the model."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 6 != 0, (F.length(F.coalesce("text", F.lit(""))) * 7 + F.col("doc_id")) % 100 / 100.0).alias("p"))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
@@ -65,6 +70,7 @@ STATEMENTS = f"""s AS (SELECT doc_id AS id, coalesce(text, '') AS text, source A
 CARDS = f"""cards AS (SELECT doc_id AS id, ({list(KINDS)!r})[doc_id % 7 + 1] AS kind,
   CASE WHEN quality = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'repo' ELSE 'global' END ELSE 'unclear' END AS scope,
   CASE WHEN doc_id % 11 = 0 THEN 'none' ELSE 'assistant' END AS gist_source FROM labels)"""
+DURABLE = "durable AS (SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN (length(coalesce(text, '')) * 7 + doc_id) % 100 / 100.0::DOUBLE END AS p FROM documents)"
 CASES = f"""c AS (SELECT item_id AS query_id, b.text AS situation, item_id * 17 * {MINUTE} + {EPOCH + 200 * MINUTE} AS decision, item_id % 61 AS thread_id,
   'src' || (item_id % 20) AS current_repo, (item_id * 7) % 61 AS exclude_session, embedding AS qvec FROM benchmark b JOIN embeddings ON vec_id = item_id)"""
 LOG = """log AS (SELECT event_id AS ln, ts, user_id AS session_id, CASE WHEN event_id % 10 = 9 THEN 'auto-index' WHEN event_id % 2 = 0 THEN 'prompt' ELSE 'stop' END AS event,
