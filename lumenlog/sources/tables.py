@@ -1,4 +1,4 @@
-"""Keyed tables with insert-once and replace-all writes."""
+"""Rows against what tables hold: what is missing, conflicts, days, re-judging, moved files. Writes are in commits.py."""
 
 from __future__ import annotations
 
@@ -16,34 +16,6 @@ def conflicts(rows: DataFrame, held: DataFrame, keys: list[str], value: str) ->
     return rows.join(held.select(*keys, F.col(value).alias("held_value")), keys).where(~F.col(value).eqNullSafe(F.col("held_value")))
 
 
-def insert_once(rows: DataFrame, path: str, keys: list[str], value: str | None = None) -> int:
-    """Append rows with new keys to a Parquet table, one a key; a key held with another value is an error."""
-    spark = rows.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    if exists:
-        held = spark.read.parquet(path)
-        if value and not conflicts(rows, held, keys, value).isEmpty():
-            raise ValueError(f"a key of {path} is held with another {value}")
-        rows = missing(rows, held, keys)
-    new = rows.dropDuplicates(keys)
-    before = spark.read.parquet(path).count() if exists else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
-
-
-def rewrite(rows: DataFrame, path: str) -> None:
-    """Replace a table: written beside it first and moved in place, as the new rows may read the old ones."""
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}.new")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{path}.new could not be moved in place")
-
-
 def turn_log(spark: SparkSession, path: str, schema: str, days: list[str] | None = None) -> DataFrame:
     """Turn-log lines partitioned by day=YYYY-MM-DD folders; days prune the folders read."""
     rows = spark.read.schema(f"{schema}, day string").json(path)

@@ -77,17 +77,6 @@ def test_markers_and_tools(spark):
     assert [r.tools for r in transcripts.tool_calls(df).collect()] == [["Bash", "Read"]]
 
 
-def test_insert_once_and_rewrite(spark, tmp_path):
-    path = str(tmp_path / "t")
-    a = spark.createDataFrame([("x", 0.5), ("y", None)], "key string, p double")
-    assert tables.insert_once(a, path, ["key"], "p") == 2
-    assert tables.insert_once(spark.createDataFrame([("x", 0.5), ("z", 0.1)], "key string, p double"), path, ["key"], "p") == 1
-    with pytest.raises(ValueError):
-        tables.insert_once(spark.createDataFrame([("y", 0.2)], "key string, p double"), path, ["key"], "p")
-    tables.rewrite(spark.read.parquet(path).where("key <> 'x'"), path)
-    assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["y", "z"]
-
-
 def test_turn_log_days(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 10:00:00", "prompt"), ("2024-01-02 10:00:00", "stop")], "ts string, event string").withColumn("ts", F.to_timestamp("ts"))
     tables.append_turns(df, str(tmp_path / "log"))
