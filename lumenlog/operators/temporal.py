@@ -98,6 +98,8 @@ def turn_identity(candidates: DataFrame, held: DataFrame) -> DataFrame:
 
 
 RUN_IDLE = 3 * 3600 * 1_000_000
+#: 2025-10-23T00:00Z in microseconds: from then on the host keeps its runs' rows apart (fixed value).
+RUNS_PERSISTED_BEFORE = 1_761_177_600_000_000
 
 
 def fold(rows: DataFrame, by: str, order: list[str], new: Callable[[], list], step: Callable[[list, dict], tuple], schema: str) -> DataFrame:
@@ -126,11 +128,16 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def auto_runs(rows: DataFrame, by: str = "session_id", idle: int = RUN_IDLE) -> DataFrame:
-    """Rows (by, micros, at, command, image) that a program submitted: within a run that its start row opens and an idle gap ends."""
+def auto_runs(rows: DataFrame, by: str = "session_id", idle: int = RUN_IDLE, before: int | None = None) -> DataFrame:
+    """Rows (by, micros, at, command, image) that a program submitted: within a run that its start row opens and an idle gap ends.
+
+    before: rows from that time on (`RUNS_PERSISTED_BEFORE` in the logs of the host) are no submissions and change no run.
+    """
 
     def step(state: list, r: dict) -> tuple:
         last, at, submission = state[0], r["micros"], False
+        if before is not None and at >= before:
+            return r[by], r["at"], False
         if r["command"] == "/auto":
             state[0] = at
         elif last is not None and at - last >= idle and not r["command"]:

@@ -493,15 +493,23 @@ def _redacted_sql(x: str) -> str:
     return x
 
 
+#: Statements as turns: every fifth within a reminder and a reply's quote, others dictated, under a context block, or a notice.
+_ENVELOPES = """CASE id % 5 WHEN 0 THEN concat('<system-reminder>be brief\n</system-reminder>\n<!-- reply 2 -->\n> quoted\n\n', text) WHEN 1 THEN concat('<dictation>', text, '</dictation>')
+  WHEN 2 THEN concat('<environment_context>here</environment_context>', text) WHEN 3 THEN CASE WHEN id % 15 = 3 THEN concat('<task-notification>', text) ELSE text END ELSE text END"""
+
+
 @query(
     "owner_judge_corpus",
-    f"""WITH {T.STATEMENTS}, p AS (SELECT {T.norm_sql('text')} AS p FROM s), n AS (SELECT p, {T.norm_sql(_redacted_sql('p'))} AS t FROM p),
-  j AS (SELECT t, CASE WHEN p = '' THEN 'empty' WHEN t <> p AND trim(replace(t, '{owner.REDACTED}', '')) = '' THEN 'key-material' WHEN regexp_matches(t, '\\d{{9,}}') THEN 'third-party' WHEN length(t) < 40 THEN 'too-short' ELSE 'kept' END AS reason FROM n)
+    f"""WITH {T.STATEMENTS}, r AS (SELECT {_ENVELOPES} AS raw FROM s), b AS (SELECT regexp_replace(raw, '(?s)<system-reminder>.*?</system-reminder>|<environment_context>.*?</environment_context>', ' ', 'g') AS t FROM r),
+  q AS (SELECT CASE WHEN regexp_matches(t, '^ *\n?<!-- reply 2 -->\n') THEN regexp_replace(t, '(?m)^<!-- reply 2 -->$(\n[^\\S\n]*(>[^\n]*)?$)*\n', '') ELSE t END AS t FROM b),
+  u AS (SELECT regexp_replace(regexp_replace(t, '^\\s*<dictation>\\s*', ''), '\\s*</dictation>\\s*$', '') AS t FROM q),
+  p AS (SELECT {T.norm_sql('t')} AS p FROM u), n AS (SELECT p, {T.norm_sql(_redacted_sql('p'))} AS t FROM p),
+  j AS (SELECT t, CASE WHEN p = '' THEN 'empty' WHEN p LIKE '<task-notification>%' THEN 'agent-completion' WHEN t <> p AND trim(replace(t, '{owner.REDACTED}', '')) = '' THEN 'key-material' WHEN regexp_matches(t, '\\d{{9,}}') THEN 'third-party' WHEN length(t) < 40 THEN 'too-short' ELSE 'kept' END AS reason FROM n)
 SELECT reason, count(*) AS n, sum(CASE WHEN reason <> 'kept' THEN 0 WHEN length(t) > 4000 THEN 4000 ELSE length(t) END)::BIGINT AS chars FROM j GROUP BY 1""",
 )
 def owner_judge_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over whole statements, secrets included, with how many each rule takes. Their texts have no envelopes, so the twin peels none."""
-    j = T.statements(spark, sf).select(owner.judge(F.col("text")).alias("j")).select("j.text", F.coalesce("j.reason", F.lit("kept")).alias("reason"))
+    """The same over whole statements within the envelopes of hosts, secrets included, with how many each rule takes; the twin peels these envelopes."""
+    j = T.statements(spark, sf).select(owner.judge(F.expr(_ENVELOPES)).alias("j")).select("j.text", F.coalesce("j.reason", F.lit("kept")).alias("reason"))
     return j.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.when(F.col("text").isNull(), 0).otherwise(F.least(F.length("text"), F.lit(4000)))).cast("bigint").alias("chars"))
 
 
@@ -531,7 +539,7 @@ def repo_of_git_url(spark: SparkSession, sf: str) -> DataFrame:
 def _model_sql(name: str) -> str:
     m = MODELS[name]
     cols = {f: f"CASE WHEN doc_id % {j + 3} = 0 THEN NULL ELSE (doc_id % {j + 11}) / {j + 11}.0::DOUBLE END" for j, f in enumerate(m["features"])}
-    return f"SELECT doc_id AS id, round({m['intercept']!r}::DOUBLE + " + " + ".join(f"(coalesce({cols[f]}, {m['medians'][j]!r}) - {m['means'][j]!r}::DOUBLE) / {m['scales'][j]!r}::DOUBLE * ({m['coefficients'][j]!r})::DOUBLE + CASE WHEN {cols[f]} IS NULL THEN ({m['missing'][j]!r})::DOUBLE ELSE 0 END" for j, f in enumerate(m["features"])) + ", 6) AS score FROM documents"
+    return f"SELECT doc_id AS id, round({m['intercept']!r}::DOUBLE + " + " + ".join(f"(coalesce({cols[f]}, {m['medians'][j]!r}) - {m['means'][j]!r}::DOUBLE) / {m['scales'][j]!r}::DOUBLE * ({m['coefficients'][j]!r})::DOUBLE + CASE WHEN {cols[f]} IS NULL THEN ({m['coefficients'][len(m['features']) + j]!r})::DOUBLE ELSE 0 END" for j, f in enumerate(m["features"])) + ", 6) AS score FROM documents"
 
 
 @query("compose_model", _model_sql("compose"))

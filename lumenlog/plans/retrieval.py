@@ -271,7 +271,7 @@ def _compose_sql(lean: bool) -> str:
     terms = [f"({m['intercept']!r})::DOUBLE"]
     for j, f in enumerate(m["features"]):
         x = f"({raw[f]})::DOUBLE"
-        terms.append(f"(coalesce({x}, {m['medians'][j]!r}::DOUBLE) - {m['means'][j]!r}::DOUBLE) / {m['scales'][j]!r}::DOUBLE * ({m['coefficients'][j]!r})::DOUBLE + CASE WHEN {x} IS NULL THEN ({m['missing'][j]!r})::DOUBLE ELSE 0 END")
+        terms.append(f"(coalesce({x}, {m['medians'][j]!r}::DOUBLE) - {m['means'][j]!r}::DOUBLE) / {m['scales'][j]!r}::DOUBLE * ({m['coefficients'][j]!r})::DOUBLE + CASE WHEN {x} IS NULL THEN ({m['coefficients'][len(m['features']) + j]!r})::DOUBLE ELSE 0 END")
     wide = "" if lean else " OR hyde_rank <= 300 OR durable >= 0.3"
     more = "" if lean else f"{HYDE}, {T.DURABLE}, "
     return f"""{JUDGE}, {NODES}, {more}it AS (SELECT ch.*, node_p, node_rank, row_number() OVER (PARTITION BY ch.query_id ORDER BY ch.micros DESC, ch.id DESC) AS recency_rank{', fk.rank AS hyde_rank, durable.p AS durable' if not lean else ''},
