@@ -6,8 +6,8 @@ The steps:
    equal windows have equal anchors. A run of consecutive windows with one anchor is a row (key, context): the key
    is the anchor's gram, the context all bytes that the run's windows cover. Windows whose key occurs once repeat
    nowhere and go no further.
-2. *Shards.* Of each distinct context up to two occurrences are cut out and dealt by key; where their bytes are
-   equal they go on as one slice that occurs twice. A task joins what it gets to shards of about `SHARD` bytes, and
+2. *Shards.* Of each distinct context one occurrence is cut out and dealt by key, and of a second one its digest,
+   which shows whether the slice occurs twice. A task joins what it gets to shards of about `SHARD` bytes, and
    each shard gets its suffix array by Larsson-Sadakane refinement: suffixes are sorted by their first four bytes,
    then only groups not yet sorted are refined, by the ranks of the suffixes 4, 8, 16, ... places further on. Kasai's walk in text order, one lane for each slice, gives the
    prefix each suffix shares with the one before it.
@@ -21,8 +21,8 @@ The steps:
 Null texts count as empty; those and short texts have no window and keep all bytes. Overlapping occurrences in one
 text count. Repeated rows are separate occurrences, and so are rows of one doc_id that differ in text. Rows without
 doc_id count and are cut like others. Other columns are ignored, and empty input gives no rows. Bytes are compared
-as they are; third and further occurrences of a context are known by 128 bits of hash, and rows by doc_id and a
-64-bit hash of the text. Long texts are read in overlapping pieces of `PIECE` bytes, which change no result.
+as they are; second occurrences of a context are known by 128 bits of BLAKE2, further ones by 128 bits of plainer hashes,
+and rows by doc_id and a 64-bit hash of the text. Long texts are read in overlapping pieces of `PIECE` bytes, which change no result.
 """
 
 from __future__ import annotations
@@ -105,8 +105,12 @@ def _anchored(width: int, k: int, whole: bool):
     return run
 
 
-def _cut_out(width: int):
-    """The bytes of the contexts that are listed for each text."""
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def _cut_out(width: int, short: bool):
+    """The bytes of the contexts that are listed for each text; with `short`, of a second copy its digest alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +121,8 @@ def _cut_out(width: int):
                 lo = first[row] + r.field("lo").to_numpy()
                 hi = lo + r.field("more").to_numpy() + width
                 raw = data.tobytes()
-                cut = pa.array([raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                second = r.field("copy").to_numpy() > 0 if short else np.zeros(len(lo), bool)
+                cut = pa.array([_digest(raw[i:j]) if d else raw[i:j] for i, j, d in zip(lo.tolist(), hi.tolist(), second.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(r.field(c) for c in ("key", "context", "copy")), cut], ["key", "context", "copy", "text"])
 
     return run
@@ -211,18 +216,21 @@ def kasai(leaf: np.ndarray, order: np.ndarray, word: np.ndarray, first: np.ndarr
 class Shard:
     """Some slices (key, context, copy, text), by key and context, with their suffix array and the places at which repeated windows start.
 
-    Two copies of a context whose bytes are equal are one slice that occurs twice. A key that has one slice, and
-    none in another shard, has nothing to be compared with and stays out of the array.
+    A context's second copy comes as a digest after the first; where it is that of the first's bytes, they are one
+    slice that occurs twice. A key that has one slice, and none in another shard, has nothing to be compared with and
+    stays out of the array.
     """
 
     def __init__(self, rows: pa.Table, width: int):
         self.width = width
-        key, context, text = (rows.column(c).combine_chunks() for c in ("key", "context", "text"))
+        key, text = (rows.column(c).combine_chunks() for c in ("key", "text"))
         number = key.to_numpy()
         self.first_key, self.last_key = (number[0], number[-1]) if len(number) else (None, None)
-        same = pc.and_(pc.and_(pc.equal(key[1:], key[:-1]), pc.equal(context[1:], context[:-1])), pc.equal(text[1:], text[:-1])).to_numpy(zero_copy_only=False)
-        kept = np.flatnonzero(~np.append(False, same)) if len(number) else np.zeros(0, np.int64)
-        many = np.append(same, False)[kept] if len(number) else np.zeros(0, bool)
+        second = rows.column("copy").to_numpy() > 0
+        kept = np.flatnonzero(~second)
+        many = np.append(second, False)[kept + 1]
+        for i in np.flatnonzero(many).tolist():
+            many[i] = _digest(text[int(kept[i])].as_py()) == text[int(kept[i]) + 1].as_py()
         number = number[kept]
         edge = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else kept
         counts = np.diff(np.append(edge, len(number)))
@@ -307,10 +315,14 @@ def _sharded(width: int, most: int):
         open_: list[Shard] = []  # those that hold the last key seen
         held: list[pa.RecordBatch] = []
 
-        def shard() -> Iterator[pa.RecordBatch]:
+        def shard(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal open_, held
-            new = Shard(pa.Table.from_batches(held).combine_chunks(), width)
-            held = []
+            rows = pa.Table.from_batches(held).combine_chunks()
+            stay = 0 if last else 1 + rows.column("copy")[-1].as_py()  # a context's copies stay together
+            held = rows.slice(rows.num_rows - stay).to_batches() if stay else []
+            if rows.num_rows == stay:
+                return
+            new = Shard(rows.slice(0, rows.num_rows - stay), width)
             if open_ and open_[-1].last_key == new.first_key:
                 for old in open_:
                     old.merge(new, new.first_key)
@@ -325,9 +337,9 @@ def _sharded(width: int, most: int):
             for x in slices(b, "text", most):
                 held.append(x)
                 if sum(h.column("text").nbytes for h in held) >= most:
-                    yield from shard()
+                    yield from shard(False)
         if held:
-            yield from shard()
+            yield from shard(True)
         for old in open_:
             yield from old.ranges()
 
@@ -350,16 +362,16 @@ def repeats(texts: DataFrame, width: int = WIDTH, grams: tuple[int, ...] = GRAMS
     copies = F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("copy"), "one.*"))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), "one.*"), F.struct(F.lit(1).alias("copy"), "two.*")))
     live = live.select("key", "context", "contexts", F.explode(copies).alias("x")).select("key", "context", "contexts", "x.*")
 
-    def sliced(rows: DataFrame) -> DataFrame:
+    def sliced(rows: DataFrame, short: bool) -> DataFrame:
         listed = rows.groupBy("id").agg(F.collect_list(F.struct("key", "context", "copy", "lo", "more")).alias("runs"))
-        return in_arrow(texts.join(listed.hint("shuffle_hash"), "id"), _cut_out(width), "key long, context long, copy int, text binary")
+        return in_arrow(texts.join(listed.hint("shuffle_hash"), "id"), _cut_out(width, short), "key long, context long, copy int, text binary")
 
     live = stage(live, "slices")
     drop(each)
     narrow = live.where(F.col("contexts") <= contexts) if len(grams) > 1 else live
-    ranges = in_arrow(sliced(narrow).repartition("key").sortWithinPartitions("key", "context", "copy"), _sharded(width, shard), "key long, context long, from int, to int")
+    ranges = in_arrow(sliced(narrow, True).repartition("key").sortWithinPartitions("key", "context", "copy"), _sharded(width, shard), "key long, context long, from int, to int")
     if len(grams) > 1 and not (wide := live.where(F.col("contexts") > contexts)).isEmpty():
-        again = stage(sliced(wide).select(F.struct("key", "context", "copy").alias("id"), "text"), "wide")
+        again = stage(sliced(wide, False).select(F.struct("key", "context", "copy").alias("id"), "text"), "wide")
         ranges = ranges.union(repeats(again, width, grams[1:], contexts, shard).select("id.key", "id.context", F.col("lo").cast("int"), F.col("hi").cast("int")))
     # two copies of a context may have repeats each that the other hasn't shown, so a context may have its ranges twice
     ranges = stage(ranges.distinct(), "ranges")

@@ -17,9 +17,10 @@ def slices(rng, alphabet):
     return got + got[:2] if rng.random() < 0.4 else got
 
 
-def table(texts):
-    n = len(texts)
-    return pa.table({"key": pa.array([5] * n, pa.int64()), "context": pa.array(range(n), pa.int64()), "copy": pa.array([0] * n, pa.int32()), "text": pa.array(texts, pa.binary())})
+def table(texts, twice=False):
+    rows = [(5, i, copy, S._digest(t) if copy else t) for i, t in enumerate(texts) for copy in range(1 + twice)]
+    kinds = {"key": pa.int64(), "context": pa.int64(), "copy": pa.int32(), "text": pa.binary()}
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
 
 
 def repeated(texts, width):
@@ -36,6 +37,8 @@ def test_array_and_merging_equal_brute_force(alphabet):
         suffixes = sorted((tuple(x + 1 for x in t[j:]) + (0,), int(first[i]) + j) for i, t in enumerate(texts) for j in range(len(t)))
         assert S.suffix_array(data, first)[0].tolist() == [p for _, p in suffixes]
         assert S.Shard(table(texts), width).again.tolist() == repeated(texts, width)
+        doubled = S.Shard(table(texts, twice=True), width)
+        assert doubled.again.tolist() == [i + width <= len(t) for t in texts for i in range(len(t))]
         cut = rng.randint(1, len(texts))
         a, b = S.Shard(table(texts[:cut]), width), S.Shard(table(texts[cut:]), width)
         a.merge(b, 5)
