@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from lumenlog.plans import logs, retrieval, shown, stored  # noqa: F401
+    from lumenlog.plans import context, logs, retrieval, shown, stored  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
