@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.functions import feed
 from lumenlog.functions.text import norm
 from lumenlog.operators import excerpts as X
 from lumenlog.plans import stand_ins as T
@@ -93,3 +94,42 @@ def session_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     host = at(3, e, "codex", "code", "other")
     verdict = X.rollout_verdict(host, F.when(e % 11 > 0, "p"), e % 13 > 0, at(5, e, "app", "my_exec", "cli"), at(6, e, "cli", "vscode", "exec", "mcp"), F.when(e % 17 == 0, "subagent"), at(6, F.col("user_id"), "user", "subagent", "user", "user", "other"))
     return T.table(spark, sf, "events").select(X.session_verdict(host, F.lit(None).cast("string"), verdict).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+#: Reasons of every sort, dealt over the events by number.
+_REASONS = ("disabled", "nothing-above-threshold", "cap-reached", "not-owner-text:harness", "not-owner-text:agent-completion", "headless:rollout-exec", "headless:rollout-subagent", "unknown:rollout-source-none", "retrieval-failed", "stop-hook-active", "no-violation-above-threshold", "something-new", "headless:")
+_FEED = f"""f AS (SELECT event_id, user_id, event_id // 40 AS turn, CASE WHEN event_id % 2 = 0 THEN 'prompt' ELSE 'stop' END AS event, CASE WHEN event_id % 19 = 0 THEN 'injected' WHEN event_id % 23 = 0 THEN 'blocked' END AS outcome,
+  CASE WHEN event_id % 7 > 0 THEN ({list(_REASONS)!r})[event_id % {len(_REASONS)} + 1] END AS reason, CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'info' END AS level, event_id % 17 = 3 AS audited FROM events),
+k AS (SELECT *, CASE WHEN outcome IS NOT NULL THEN outcome WHEN event = 'stop' AND audited THEN 'audited' WHEN reason IN ('nothing-above-threshold') THEN 'empty' WHEN reason = 'cap-reached' THEN 'capped' WHEN reason = 'retrieval-failed' THEN 'error'
+  WHEN reason = 'no-violation-above-threshold' THEN 'audited' WHEN reason IS NOT NULL THEN 'skip' WHEN level = 'error' THEN 'error' ELSE 'skip' END AS kind FROM f)"""
+
+
+def _feed(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    reason = F.when(e % 7 > 0, F.get(F.array(*map(F.lit, _REASONS)), (e % len(_REASONS)).cast("int")))
+    rows = T.table(spark, sf, "events").select(
+        "event_id", "user_id", F.floor(e / 40).alias("turn"), F.when(e % 2 == 0, "prompt").otherwise("stop").alias("event"), F.when(e % 19 == 0, "injected").when(e % 23 == 0, "blocked").alias("outcome"),
+        reason.alias("reason"), F.when(e % 5 == 0, "error").otherwise("info").alias("level"), (e % 17 == 3).alias("audited"),
+    )
+    return rows.withColumn("kind", feed.half_kind(*map(F.col, ("event", "outcome", "reason", "level", "audited"))))
+
+
+@query(
+    "reason_kinds",
+    f"""WITH {_FEED} SELECT reason, CASE WHEN reason IN ('disabled') THEN 'off' WHEN reason IN ('not-owner-text:agent-completion', 'headless:rollout-subagent') THEN 'subagent' WHEN reason LIKE 'not-owner-text:_%' THEN 'not-owner' WHEN reason LIKE 'headless:_%' THEN 'automated'
+  WHEN reason LIKE 'unknown:_%' THEN 'unclassified' WHEN reason = 'stop-hook-active' THEN 'followup' ELSE 'other' END AS "group", count(*) AS n, count_if(kind = 'skip')::BIGINT AS skips FROM k WHERE reason IS NOT NULL GROUP BY ALL""",
+)
+def reason_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasons by the published table and families, with the kinds of their lines."""
+    return _feed(spark, sf).where("reason is not null").groupBy("reason", feed.reason_info(F.col("reason"))["group"].alias("group")).agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "skip").alias("skips"))
+
+
+@query(
+    "shown_stops",
+    f"""WITH {_FEED}, s AS (SELECT turn, user_id, event_id, kind, row_number() OVER (PARTITION BY turn, user_id ORDER BY CASE WHEN reason = 'stop-hook-active' THEN 9 ELSE CASE kind WHEN 'blocked' THEN 0 WHEN 'audited' THEN 1 WHEN 'error' THEN 2 WHEN 'capped' THEN 3 WHEN 'empty' THEN 4 WHEN 'injected' THEN 4 WHEN 'skip' THEN 5 ELSE 6 END END, event_id) AS nth
+  FROM k WHERE event = 'stop') SELECT turn, user_id, event_id, kind FROM s WHERE nth = 1""",
+)
+def shown_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each turn's stops the one that its card shows."""
+    stop = feed.shown_stop(F.col("kind"), F.col("reason"), F.col("event_id"), F.struct("event_id", "kind"))
+    return _feed(spark, sf).where("event = 'stop'").groupBy("turn", "user_id").agg(stop.alias("s")).select("turn", "user_id", "s.event_id", "s.kind")

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.functions.vectors import dot
 from lumenlog.operators import questions
 from lumenlog.plans import stand_ins as T
 from lumenlog.plans.catalog import query
-from lumenlog.sources import backfill, loglines
+from lumenlog.sources import backfill, chunks, loglines
 from lumenlog.sources.commits import KeyedTable
 from lumenlog.sources.staging import new_path
 
@@ -86,3 +87,12 @@ def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
     files = rows.groupBy("file").agg(F.count("*").alias("lines"), F.max("line_no").alias("last"), F.countDistinct("line_no").alias("numbers"))
     ok = files.agg(F.bool_and((F.col("lines") == F.col("last")) & (F.col("lines") == F.col("numbers"))).alias("numbered"))
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.col("conv_id") * 1000 + F.col("turn")).alias("total"), F.sum(F.length("text")).alias("chars")).crossJoin(F.broadcast(ok))  # one row
+
+
+@query("vector_chunks", "SELECT vec_id AS id, round(list_inner_product(embedding, embedding)::DOUBLE, 4) AS norm, true AS listed FROM embeddings WHERE embedding IS NOT NULL")
+def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings written as vector chunks and read back, with the hashes that the chunks list."""
+    path, e = new_path(spark, "chunks"), T.embeddings(spark, sf).where("vec is not null")
+    chunks.append(e.select(F.col("id").cast("string").alias("hash"), "vec"), path, 64)
+    got = chunks.vectors(spark, path, 64).join(chunks.hashes(spark, path).withColumn("listed", F.lit(True)), "hash", "left")
+    return got.select(F.col("hash").cast("long").alias("id"), F.round(dot(F.col("vec"), F.col("vec")), 4).alias("norm"), F.coalesce("listed", F.lit(False)).alias("listed"))

@@ -130,7 +130,9 @@ class LineReader(DataSourceReader):
             out += [Split(file, i, at, min(at + self.step, size)) for i, at in enumerate(range(start, size, self.step))]
         return out
 
-    def read(self, p: Split) -> Iterator[tuple]:
+    def read(self, p: Split | None) -> Iterator[tuple]:
+        if p is None:  # there are no files
+            return
         if self.mode == "head":
             yield from self._head(p.file)
         elif self.mode == "tail":

@@ -63,6 +63,10 @@ def test_heads_and_tails(spark, files):
         loglines.first_lines(spark, [str(folder)], most=100_000).collect()
 
 
+def test_no_files(spark, tmp_path):
+    assert loglines.lines(spark, [str(tmp_path)]).collect() == [] and loglines.first_lines(spark, [str(tmp_path / "none")]).collect() == []
+
+
 def test_zstd(spark, tmp_path):
     import pyarrow as pa
 
