@@ -415,11 +415,10 @@ SQL = {
 WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 starts AS (SELECT doc_id, unnest(range(0, n - 199)) AS p, unnest(list_transform(range(0, n - 199), lambda i: md5(substr(h, 2 * i + 1, 400)))) AS s FROM d WHERE n >= 200),
 again AS (SELECT doc_id, p AS start FROM starts QUALIFY count(*) OVER (PARTITION BY s) > 1),
-bytes AS (SELECT doc_id, unnest(range(0, n)) AS p, unnest(list_transform(range(0, n), lambda i: substr(h, 2 * i + 1, 2))) AS b FROM d),
-marked AS (SELECT bytes.doc_id, bytes.p, b, coalesce(bytes.p - max(start) OVER (PARTITION BY bytes.doc_id ORDER BY bytes.p ROWS UNBOUNDED PRECEDING) < 200, false) AS gone
-  FROM bytes LEFT JOIN again ON bytes.doc_id = again.doc_id AND bytes.p = start),
-edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM marked),
-kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS t FROM edges GROUP BY doc_id)
-SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+opens AS (SELECT doc_id, start, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) > 200, true)::INT AS new FROM again),
+spans AS (SELECT doc_id, min(start) AS lo, max(start) + 200 AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM opens) GROUP BY doc_id, span),
+gaps AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS after FROM spans),
+cut AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * after + 1, 2 * (lo - after)), '' ORDER BY lo) AS t FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
 """
 }
