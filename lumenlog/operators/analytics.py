@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlog.operators.order import total_order
+
 HOOKS = ("prompt", "stop")
 
 
@@ -132,7 +134,7 @@ def cost_usd(endpoint: Column, tokens: Column, long_from: int = 200_000, prices:
 def usage_order(homes: DataFrame, usage: DataFrame) -> DataFrame:
     """Homes by headroom: the worst window's used share, then pace, then path; homes without a row last."""
     worst = usage.groupBy("home").agg(F.max("used").alias("used"), F.max_by("label", F.struct("used", "label")).alias("window"), F.max(F.col("used") / F.greatest("elapsed", F.lit(1.0))).alias("pace"))
-    return homes.join(worst, "home", "left").withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("used"), F.asc_nulls_last("pace"), "home")))  # a handful of homes
+    return total_order(homes.join(worst, "home", "left"), [], F.asc_nulls_last("used"), F.asc_nulls_last("pace"), F.asc("home"), name="place")
 
 
 def busiest_hour(hourly: DataFrame) -> DataFrame:

@@ -385,10 +385,10 @@ _RANKED = f"SELECT 0 AS query_id, id % 7 AS session, id, text, ((id * 37) % 1009
 
 
 def _ranked_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All statements in one order. Numbers alone are ranked; texts are joined to them afterwards."""
+    """All statements in one order, over range partitions. Numbers alone are ranked; texts are joined to them afterwards."""
     s = T.statements(spark, sf)
     n = s.select(F.lit(0).alias("query_id"), (F.col("id") % 7).alias("session"), "id", (((F.col("id") * 37) % 1009) / 1009.0).alias("score"))
-    ranked = n.withColumn("rank", ranking.row_rank(["query_id"], F.desc((F.col("id") * 37) % 1009), F.asc("id")))
+    ranked = total_order(n, ["query_id"], F.desc("score"), F.asc("id"))
     return ranked.join(s.select("id", "text"), "id")
 
 
