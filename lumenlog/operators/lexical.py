@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from lumenlog.functions import scoring as S
 from lumenlog.functions.text import DOC_CLIP, clip, tokenize
 from lumenlog.operators.order import running
+from lumenlog.sources.staging import staged
 
 _ALL = ""  # stands for no term: tokens are never empty
 
 
 def index(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of statements (id, text, micros, session_id)."""
-    tokens = statements.select("id", "micros", "session_id", tokenize(clip(F.col("text"), DOC_CLIP)).alias("tokens"))
+    """(postings, lengths) of statements (id, text, micros, session_id), as tables: each text is tokenized once, in a task of its share."""
+    spread = statements.select("id", "micros", "session_id", "text").repartition(int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    tokens = staged(spread.select("id", "micros", "session_id", tokenize(clip(F.col("text"), DOC_CLIP)).alias("tokens")), "tokens")
     lengths = tokens.select("id", "micros", "session_id", F.size("tokens").alias("len"))
     each = tokens.select("id", "micros", "session_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return each.groupBy("term", "id", "micros", "session_id", "len").agg(F.count("*").alias("tf")), lengths
+    return staged(each.groupBy("term", "id", "micros", "session_id", "len").agg(F.count("*").alias("tf")), "postings"), lengths
 
 
 def query_terms(cases: DataFrame) -> DataFrame:
@@ -31,15 +33,21 @@ def query_terms(cases: DataFrame) -> DataFrame:
     return cases.select("query_id", "decision", "exclude_session", F.explode(F.array_distinct(tokenize(F.col("situation")))).alias("term"))
 
 
-def statistics(postings: DataFrame, lengths: DataFrame, cases: DataFrame) -> DataFrame:
-    """(query_id, term, n, total): documents and their total length (term '': of all) that hold the term and that the case may see."""
+def statistics(postings: DataFrame | None, lengths: DataFrame, cases: DataFrame) -> DataFrame:
+    """(query_id, term, n, total): documents and their total length (term '': of all) that hold the term and that the case may see.
+
+    Without postings, those of all documents alone.
+    """
     terms = query_terms(cases)
     zero = F.lit(0).cast("long")
     held = lengths.select(F.lit(_ALL).alias("term"), "session_id", "micros", F.col("len").cast("long"))
-    held = held.union(postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "session_id", "micros", zero))
+    if postings is not None:
+        held = held.union(postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "session_id", "micros", zero))
     scopes = lambda session: F.explode(F.when(session.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.lit(None).cast("long"), session.cast("long"))))
     held = held.select("term", scopes(F.col("session_id")).alias("session"), F.col("micros").alias("time"), F.lit(1).alias("late"), F.lit(1).cast("long").alias("n"), F.col("len").alias("total"), F.lit(None).cast("long").alias("query_id"))
-    asked = cases.select("query_id", "decision", "exclude_session", F.lit(_ALL).alias("term")).union(terms)
+    asked = cases.select("query_id", "decision", "exclude_session", F.lit(_ALL).alias("term"))
+    if postings is not None:
+        asked = asked.union(terms)
     asked = asked.select("term", scopes(F.col("exclude_session")).alias("session"), F.col("decision").alias("time"), F.lit(0).alias("late"), zero.alias("n"), zero.alias("total"), F.col("query_id").cast("long"))
     sums = running(held.union(asked), ["term", "session"], [F.col("time"), F.col("late"), F.col("query_id")], ["n", "total"]).where("query_id is not null")
     sign = F.when(F.col("session").isNull(), 1).otherwise(-1)
@@ -56,14 +64,17 @@ def hits(postings: DataFrame, cases: DataFrame) -> DataFrame:
     return postings.join(query_terms(cases), "term").where((F.col("micros") < F.col("decision")) & other)
 
 
-def scores(postings: DataFrame, cases: DataFrame, stats: DataFrame, digits: int = 9) -> DataFrame:
-    """(query_id, id, bm25) of the statements that share a term with the case; all others have zero."""
-    df = document_frequency(stats)
-    all_ = stats.where(F.col("term") == _ALL).select("query_id", F.col("n").alias("docs"), (F.col("total") / F.col("n")).alias("avg"))
-    terms = df.join(all_, "query_id")  # a few rows for each term of a case
-    found = hits(postings, cases).select("query_id", "term", "id", "len", "tf").join(terms, ["query_id", "term"])
+def scores(postings: DataFrame, lengths: DataFrame, cases: DataFrame, digits: int = 9) -> DataFrame:
+    """(query_id, id, bm25) of the statements that share a term with the case; all others have zero.
+
+    A case's hits are what its document frequencies count, so they are counted there; number and average length of what
+    it sees are prefix counts.
+    """
+    found = hits(postings, cases).select("query_id", "term", "id", "len", "tf")
+    all_ = statistics(None, lengths, cases).select("query_id", F.col("n").alias("docs"), (F.col("total") / F.col("n")).alias("avg"))
+    terms = found.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(all_, "query_id")  # a few rows for each term of a case
     one = S.bm25_term(F.col("tf"), F.col("df"), F.col("len"), F.col("docs"), F.col("avg"))
-    return found.groupBy("query_id", "id").agg(F.round(F.sum(one), digits).alias("bm25"))
+    return found.join(terms, ["query_id", "term"]).groupBy("query_id", "id").agg(F.round(F.sum(one), digits).alias("bm25"))
 
 
 def top(scored: DataFrame, cases: DataFrame, lengths: DataFrame, n: int) -> DataFrame:

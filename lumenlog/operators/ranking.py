@@ -15,6 +15,7 @@ from lumenlog.functions.text import DOC_CLIP, clip, tokenize
 from lumenlog.functions.vectors import dot
 from lumenlog.operators import lexical
 from lumenlog.operators.order import total_order
+from lumenlog.sources.staging import staged
 
 DIGITS = 9
 
@@ -44,19 +45,14 @@ def terms(texts: DataFrame) -> DataFrame:
     return t.select("id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("term").alias("tf"))
 
 
-def lengths(statements: DataFrame) -> DataFrame:
-    """statements with len, their number of tokens: known before a statement meets any query."""
-    return statements.withColumn("len", F.size(tokenize(clip(F.col("text"), DOC_CLIP))))
-
-
 def bm25(visible: DataFrame, queries: DataFrame, statements: DataFrame) -> DataFrame:
     """visible pairs (query_id, id, ...) with bm25: zero where no term is shared.
 
-    Document frequency, their number and average length are those of what the query may see, by the index's
-    prefix counts; only pairs with a shared term are scored.
+    Document frequency, their number and average length are those of what the query may see; only pairs with a
+    shared term are scored.
     """
     postings, lengths = lexical.index(statements)
-    scored = lexical.scores(postings, queries, lexical.statistics(postings, lengths, queries), DIGITS)
+    scored = lexical.scores(postings, lengths, queries, DIGITS)
     return visible.join(scored, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
@@ -75,7 +71,7 @@ def ranks(visible: DataFrame, queries: DataFrame, statements: DataFrame) -> Data
 
     No task holds all that one query sees: each order goes over range partitions.
     """
-    scored = bm25(cosine(visible).drop("qvec", "vec"), queries, statements)
+    scored = staged(bm25(cosine(visible).drop("qvec", "vec"), queries, statements), "scored")  # an order samples its rows first
     by_emb = total_order(scored, ["query_id"], F.desc("cos"), F.asc("micros"), F.asc("id"), name="emb_rank")
     return thread_rank(total_order(by_emb, ["query_id"], F.desc("bm25"), F.asc("id"), name="bm25_rank"))
 

@@ -11,6 +11,7 @@ from lumenlog.operators import eligibility, lexical, ranking, selection, session
 from lumenlog.operators.order import total_order
 from lumenlog.plans import stand_ins as T
 from lumenlog.plans.catalog import query
+from lumenlog.sources.staging import staged
 
 _E, _M = T.EPOCH, T.MINUTE
 
@@ -22,7 +23,7 @@ def _base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     """
     cases = T.cases(spark, sf)
     corpus, _ = ranking.corpus(T.statements(spark, sf), T.embeddings(spark, sf))
-    spread = ranking.lengths(corpus).drop("text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    spread = corpus.drop("text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     return cases, corpus, eligibility.visible(cases, spread)
 
 
@@ -107,8 +108,8 @@ def bm25_statistics(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 60 best by BM25: only statements that share a term with a case meet it, unless those are too few."""
     cases, postings, lengths = _index(spark, sf)
-    scored = lexical.scores(postings, cases, lexical.statistics(postings, lengths, cases))
-    return lexical.top(scored, cases, lengths, S.TOP_BM25).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
+    scored = lexical.scores(postings, lengths, cases)
+    return lexical.top(staged(scored, "bm25"), cases, lengths, S.TOP_BM25).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "bm25_rank")
 
 
 @query("full_ranks", f"WITH {BM25} SELECT query_id, id, emb_rank::INT AS emb_rank, bm25_rank::INT AS bm25_rank, row_number() OVER (PARTITION BY query_id ORDER BY micros DESC, id DESC)::INT AS recency_rank FROM r")
