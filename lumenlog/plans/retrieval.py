@@ -430,11 +430,11 @@ def gate_then_cut(spark: SparkSession, sf: str) -> DataFrame:
     return selection.cut(selection.gate(fused.where(F.col("rank") <= S.TOP_N), "p", S.PROMPT_GATE), 5).select("query_id", "id", "place")
 
 
-@query(
-    "recall_mrr",
-    f"""WITH {FUSED}, gold AS (SELECT query_id, id FROM c JOIN s ON contains(text, situation)), g AS (SELECT gold.query_id, min(fr.rank) AS first, count(*) AS gold, count_if(coalesce(fr.rank <= 5, false)) AS top5, count_if(coalesce(fr.rank <= 10, false)) AS top10 FROM gold LEFT JOIN fr ON fr.query_id = gold.query_id AND fr.id = gold.id AND fr.rank <= 50 GROUP BY gold.query_id)
-SELECT query_id, gold, round(top5::DOUBLE / gold, 6) AS recall5, round(top10::DOUBLE / gold, 6) AS recall10, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr FROM g""",
-)
+_RECALL = f"""WITH {FUSED}, gold AS (SELECT query_id, id FROM c JOIN s ON contains(text, situation)), g AS (SELECT gold.query_id, min(fr.rank) AS first, count(*) AS gold, count_if(coalesce(fr.rank <= 5, false)) AS top5, count_if(coalesce(fr.rank <= 10, false)) AS top10 FROM gold LEFT JOIN fr ON fr.query_id = gold.query_id AND fr.id = gold.id AND fr.rank <= 50 GROUP BY gold.query_id)
+SELECT query_id, gold, round(top5::DOUBLE / gold, 6) AS recall5, round(top10::DOUBLE / gold, 6) AS recall10, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr FROM g"""
+
+
+@query("recall_mrr", _RECALL)
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation of the default plan: gold are statements that hold the item's text."""
     from lumenlog.plans.evaluate import metrics
@@ -444,9 +444,14 @@ def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     return metrics(fused.where(F.col("rank") <= S.TOP_N), gold)
 
 
-@query("bootstrap_ci")
+@query(
+    "bootstrap_ci",
+    f"""WITH va AS ({_RECALL}), nu AS (SELECT recall5 AS value, row_number() OVER (ORDER BY query_id) AS place, count(*) OVER () AS n FROM va),
+  pk AS (SELECT draw, ('0x' || substr(md5(draw || ':' || place || ':42'), 1, 8))::BIGINT % n + 1 AS place FROM nu, unnest(range(1, 201)) t(draw)), m AS (SELECT draw, avg(value) AS m FROM pk JOIN nu USING (place) GROUP BY draw)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+)
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeded bootstrap interval of mean recall@5 (rows only: the draws are a hash of draw and place)."""
+    """Seeded bootstrap interval of mean recall@5."""
     from lumenlog.plans.evaluate import bootstrap
 
     return bootstrap(recall_mrr(spark, sf).select("query_id", F.col("recall5").alias("value")))

@@ -113,9 +113,14 @@ def counted_drops(turns: DataFrame) -> DataFrame:
     return turns.where("drop_reason is not null").groupBy("drop_reason").agg(F.count("*").alias("n"))
 
 
-def history_without_transcripts(typed: DataFrame, rollouts: DataFrame, turns: DataFrame) -> DataFrame:
-    """Typed rows whose session has no rollout, and whose text the project's transcripts don't hold."""
-    left = typed.join(rollouts.select("session_id").distinct(), "session_id", "left_anti")
+def history_without_transcripts(typed: DataFrame, rollouts: DataFrame, turns: DataFrame, goal: Column | None = None) -> DataFrame:
+    """Typed rows whose session has no rollout, and whose text the project's transcripts don't hold.
+
+    goal: which rows started an automatic run; those stay though their session has a rollout, as that doesn't hold them.
+    """
+    has = rollouts.select("session_id").distinct().withColumn("in_rollout", F.lit(True))
+    goal = F.lit(False) if goal is None else F.coalesce(goal, F.lit(False))
+    left = typed.join(has, "session_id", "left").where(F.col("in_rollout").isNull() | goal).select(typed.columns)
     seen = turns.select(F.col("project"), norm(F.col("raw")).alias("key")).distinct()
     return left.withColumn("key", norm(F.col("raw"))).join(seen, ["project", "key"], "left_anti").drop("key")
 
