@@ -116,6 +116,26 @@ def index_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
 
+def dry_run(found: DataFrame, indexed: DataFrame, embedded: DataFrame, files: DataFrame) -> DataFrame:
+    """What an index pass would do, without doing it: (section, key, statements, added).
+
+    found (id, hash, source, peeled, chars): what the scan makes; indexed (id, hash, file): what is held; embedded (hash);
+    files (file): those that are there. Sections: source and peel (found, and of them not indexed), index (kept, added, changed,
+    removed), gone (removed whose file is gone, or still there), embed (distinct texts to embed, and their characters).
+    """
+    new = found.join(indexed.select("id", F.col("hash").alias("held")), "id", "left").withColumn("new", F.col("held").isNull())
+    line = lambda section, key, n, added=None: [F.lit(section).alias("section"), key.alias("key"), n.cast("long").alias("statements"), (F.lit(None) if added is None else added).cast("long").alias("added")]
+    counted = lambda rows, section, key: rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.count_if("new").alias("a")).select(*line(section, F.col("key"), F.col("n"), F.col("a")))
+    by_source = counted(new, "source", F.col("source"))
+    by_peel = counted(new.select("new", F.explode("peeled").alias("peel")), "peel", F.col("peel"))
+    diff = index_diff(indexed, found).select(*line("index", F.col("action"), F.col("n")))
+    removed = indexed.join(found.select("id"), "id", "left_anti").join(files.select("file").distinct().withColumn("there", F.lit(True)), "file", "left")
+    gone = removed.groupBy(F.when(F.col("there"), "file-present").otherwise("file-gone").alias("key")).agg(F.count("*").alias("n")).select(*line("gone", F.col("key"), F.col("n")))
+    todo = found.join(embedded.select("hash").distinct(), "hash", "left_anti").groupBy("hash").agg(F.max("chars").alias("chars")).agg(F.count("*").alias("texts"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+    embed = todo.select(F.explode(F.array(F.struct(F.lit("texts").alias("key"), F.col("texts").alias("n")), F.struct(F.lit("chars").alias("key"), F.col("chars").alias("n")))).alias("x")).select(*line("embed", F.col("x.key"), F.col("x.n")))
+    return by_source.union(by_peel).union(diff).union(gone).union(embed)
+
+
 #: Prices per million tokens, and those beyond the long threshold (our defaults; a parameter).
 PRICES = {"embed": (0.02, 0.02), "judge": (0.05, 0.10)}
 

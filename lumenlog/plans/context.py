@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import feed
 from lumenlog.functions.text import norm
+from lumenlog.operators import analytics
 from lumenlog.operators import excerpts as X
 from lumenlog.plans import stand_ins as T
 from lumenlog.plans.catalog import query
@@ -133,3 +134,23 @@ def shown_stops(spark: SparkSession, sf: str) -> DataFrame:
     """Of each turn's stops the one that its card shows."""
     stop = feed.shown_stop(F.col("kind"), F.col("reason"), F.col("event_id"), F.struct("event_id", "kind"))
     return _feed(spark, sf).where("event = 'stop'").groupBy("turn", "user_id").agg(stop.alias("s")).select("turn", "user_id", "s.event_id", "s.kind")
+
+
+@query(
+    "dry_run_report",
+    f"""WITH {T.STATEMENTS}, x AS (SELECT id, sha256(text) AS hash, 'f' || (id % 40) AS file FROM s WHERE id % 5 > 0), f AS (SELECT id, sha256(CASE WHEN id % 7 = 0 THEN text || '!' ELSE text END) AS hash, host AS source, length(text) AS chars FROM s WHERE id % 4 > 0),
+  n AS (SELECT f.*, x.id IS NULL AS new FROM f LEFT JOIN x USING (id)), p AS (SELECT new, 'app' AS peel FROM n WHERE id % 3 = 0 UNION ALL SELECT new, 'quote' FROM n WHERE id % 2 = 0),
+  i AS (SELECT CASE WHEN x.id IS NULL THEN 'added' WHEN f.id IS NULL THEN 'removed' WHEN x.hash <> f.hash THEN 'changed' ELSE 'kept' END AS key FROM x FULL JOIN f ON f.id = x.id),
+  g AS (SELECT CASE WHEN (x.id % 40) < 25 THEN 'file-present' ELSE 'file-gone' END AS key FROM x WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = x.id)),
+  t AS (SELECT hash, max(chars) AS chars FROM f WHERE hash NOT IN (SELECT sha256(text) FROM s WHERE id % 6 > 0) GROUP BY hash)
+SELECT 'source' AS section, source AS key, count(*) AS statements, count_if(new)::BIGINT AS added FROM n GROUP BY source UNION ALL SELECT 'peel', peel, count(*), count_if(new)::BIGINT FROM p GROUP BY peel
+UNION ALL SELECT 'index', key, count(*), NULL FROM i GROUP BY key UNION ALL SELECT 'gone', key, count(*), NULL FROM g GROUP BY key UNION ALL SELECT 'embed', 'texts', count(*), NULL FROM t UNION ALL SELECT 'embed', 'chars', coalesce(sum(chars), 0)::BIGINT, NULL FROM t""",
+)
+def dry_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """An index pass told beforehand: statements per source and peel, what is kept, changed and removed, what to embed."""
+    s, i = T.statements(spark, sf), F.col("id")
+    indexed = s.where(i % 5 > 0).select("id", F.sha2("text", 256).alias("hash"), F.concat(F.lit("f"), (i % 40).cast("string")).alias("file"))
+    peeled = F.filter(F.array(F.when(i % 3 == 0, "app"), F.when(i % 2 == 0, "quote")), lambda x: x.isNotNull())
+    found = s.where(i % 4 > 0).select("id", F.sha2(F.when(i % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"), F.col("host").alias("source"), peeled.alias("peeled"), F.length("text").alias("chars"))
+    files = indexed.where(F.substring("file", 2, 9).cast("int") < 25).select("file")
+    return analytics.dry_run(found, indexed, s.where(i % 6 > 0).select(F.sha2("text", 256).alias("hash")), files)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def turn_log(spark: SparkSession, path: str, schema: str, days: list[str] | None
     return rows.where(F.col("day").isin(days)) if days else rows
 
 
+def recent_turns(spark: SparkSession, path: str, schema: str, now: datetime.datetime, days: int = 7) -> DataFrame:
+    """The log of the last `days` UTC days, today's among them: older folders are not read."""
+    return turn_log(spark, path, schema, [(now - datetime.timedelta(days=n)).strftime("%Y-%m-%d") for n in range(days)])
+
+
 def append_turns(lines: DataFrame, path: str) -> None:
     lines.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(path)
 

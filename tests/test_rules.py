@@ -59,3 +59,11 @@ def test_hub_windows_count_sessions(spark, tmp_path):
     got = {(r["window"]["end"], r["sessions"]) for r in spark.read.parquet(str(tmp_path / "out")).where("id = 1").collect()}
     day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
     assert {(day(1), 1), (day(14), 2), (day(17), 1)} <= got and max(n for _, n in got) == 2
+
+
+def test_recent_days_alone_are_read(spark, tmp_path):
+    lines = spark.createDataFrame([(datetime.datetime(2024, 1, d, 12), d) for d in (1, 2, 3, 8, 9)], "ts timestamp, n int")
+    tables.append_turns(lines, str(tmp_path / "log"))
+    got = tables.recent_turns(spark, str(tmp_path / "log"), "ts timestamp, n int", datetime.datetime(2024, 1, 9, 1), 7)
+    assert sorted(r["n"] for r in got.collect()) == [3, 8, 9]
+    assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString() or "PartitionFilters: [day" in got._jdf.queryExecution().toString()  # older folders are left out
