@@ -368,12 +368,13 @@ def alias_same_repo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HUB_NOW = "TIMESTAMP '2024-01-24 00:00:00'"
+HUB_NOW = 1_706_054_400_000_000
 
 
 @query("hub_suppress", f"WITH {T.LOG} SELECT k AS id, count(DISTINCT session_id) AS sessions FROM log WHERE outcome = 'silent' AND ts > {_HUB_NOW} - INTERVAL 14 DAY AND ts < {_HUB_NOW} AND session_id <> 7 GROUP BY k HAVING count(DISTINCT session_id) >= 10")
 def hub_suppress(spark: SparkSession, sf: str) -> DataFrame:
     log = T.turn_log(spark, sf).where("outcome = 'silent'").select(F.col("k").alias("id"), F.col("session_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return selection.hub_ids(log, 1_706_054_400_000_000, 14, 10, 7)
+    return selection.hub_ids(log, HUB_NOW, 14, 10, 7)
 
 
 @query("hub_index_latest", f"WITH {T.LOG} SELECT k AS id, session_id AS session, epoch_us(max(ts)) AS last FROM log WHERE k IS NOT NULL GROUP BY ALL")

@@ -78,7 +78,8 @@ def transcript_paths(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", "file", src["line"].alias("line"), paths.rollout_session(F.col("file")).alias("session"), paths.home_of(F.col("file"), "/home/jo").alias("home"), paths.project_folder(F.concat(F.lit("/home/jo/"), "repo")).alias("folder"))
 
 
-_TOLD = "told AS (SELECT DISTINCT query_id AS session, (query_id * 3 + 7) AS id FROM c), hubs AS (SELECT id FROM s WHERE id % 10 = 3)"
+_TOLD = f"""told AS (SELECT DISTINCT query_id AS session, (query_id * 3 + 7) AS id FROM c), {T.LOG},
+  hubs AS (SELECT k AS id FROM log WHERE outcome = 'injected' AND k IS NOT NULL AND ts > {retrieval._HUB_NOW} - INTERVAL 14 DAY AND ts < {retrieval._HUB_NOW} GROUP BY k HAVING count(DISTINCT session_id) >= 3)"""
 
 
 @query(
@@ -96,8 +97,10 @@ def survivors_plan(spark: SparkSession, sf: str) -> DataFrame:
     fused, _, cases = retrieval._fused(spark, sf)
     s = T.statements(spark, sf)
     told = cases.select(F.col("query_id").alias("session"), (F.col("query_id") * 3 + 7).alias("id"))
+    log = T.turn_log(spark, sf).where("outcome = 'injected' and k is not null").select(F.col("k").alias("id"), F.col("session_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    hubs = selection.hub_ids(log, retrieval.HUB_NOW, 14, 3)
     ranked = fused.where(F.col("rank") <= S.TOP_N).select("query_id", F.col("query_id").alias("session"), "id", "p", F.col("rrf").alias("score"), "rank")
-    left = selection.survivors(ranked, "p", S.PROMPT_GATE, told, s, s.where("id % 10 = 3").select("id"))
+    left = selection.survivors(ranked, "p", S.PROMPT_GATE, told, s, hubs)
     asked = left.withColumn("apply_p", F.when(F.col("id") % 9 != 0, ((F.col("id") * 7 + F.col("query_id")) % 100) / 100.0))
     return selection.apply_gate(asked, 3).select("query_id", "id", "apply_p", "place")
 

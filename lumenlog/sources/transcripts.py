@@ -126,9 +126,13 @@ def history_without_transcripts(typed: DataFrame, rollouts: DataFrame, turns: Da
 
 
 def rollout_copies(files: DataFrame, known: DataFrame) -> DataFrame:
-    """files (home, file, size) with kept, one a rollout's name: the copy known (file) already, else the larger, else the one not archived."""
-    f = files.join(known.select("file", F.lit(True).alias("known")).distinct(), "file", "left").withColumn("name", base_name(F.col("file")))
-    order = (F.col("known").desc_nulls_last(), F.desc("size"), F.col("file").contains("/archived_sessions/"), "file")
+    """files (home, file, size) with kept, one a rollout's name: the copy known (file, perhaps nth) already, else the larger, else the one not archived.
+
+    Of known copies the first listed is kept, where known says by nth how they are listed.
+    """
+    nth = F.min("nth") if "nth" in known.columns else F.lit(0)
+    f = files.join(known.groupBy("file").agg(nth.alias("known")), "file", "left").withColumn("name", base_name(F.col("file")))
+    order = (F.col("known").asc_nulls_last(), F.desc("size"), F.col("file").contains("/archived_sessions/"), "file")
     return f.withColumn("kept", F.row_number().over(Window.partitionBy("home", "name").orderBy(*order)) == 1).drop("known")
 
 

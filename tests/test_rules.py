@@ -36,6 +36,14 @@ def test_history_that_no_transcript_holds(spark):
     assert sorted(r["session_id"] or "" for r in kept.collect()) == ["", "s1", "s2", "s3"] and "in_rollout" not in kept.columns
 
 
+def test_of_known_copies_the_first_listed_is_kept(spark):
+    files = spark.createDataFrame([("h", "/h/sessions/a/r.jsonl", 9), ("h", "/h/sessions/b/r.jsonl", 5), ("h", "/h/archived_sessions/r.jsonl", 7)], "home string, file string, size long")
+    kept = lambda *known: [r["file"] for r in transcripts.rollout_copies(files, spark.createDataFrame(list(known), "file string, nth int")).where("kept").collect()]
+    assert kept() == ["/h/sessions/a/r.jsonl"]
+    assert kept(("/h/sessions/b/r.jsonl", 1), ("/h/sessions/a/r.jsonl", 2)) == ["/h/sessions/b/r.jsonl"]
+    assert kept(("/h/archived_sessions/r.jsonl", 3), ("/x", 1)) == ["/h/archived_sessions/r.jsonl"]
+
+
 def test_repaired_repos(spark):
     s = spark.createDataFrame([(1, "f", None), (2, "f", "own"), (3, "g", None)], "id int, file string, repo string")
     cwds = spark.createDataFrame([("f", "/home/me/work/thing")], "file string, cwd string")
