@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions import feed
-from lumenlog.functions.text import norm
+from lumenlog.functions.text import norm, ts_micros
 from lumenlog.operators import analytics
 from lumenlog.operators import excerpts as X
 from lumenlog.plans import stand_ins as T
 from lumenlog.plans.catalog import query
+from lumenlog.sources import transcripts
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,3 +155,32 @@ def dry_run_report(spark: SparkSession, sf: str) -> DataFrame:
     found = s.where(i % 4 > 0).select("id", F.sha2(F.when(i % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"), F.col("host").alias("source"), peeled.alias("peeled"), F.length("text").alias("chars"))
     files = indexed.where(F.substring("file", 2, 9).cast("int") < 25).select("file")
     return analytics.dry_run(found, indexed, s.where(i % 6 > 0).select(F.sha2("text", 256).alias("hash")), files)
+
+
+@query(
+    "transcript_corpus",
+    """WITH c AS (SELECT conv_id, turn, text, CASE WHEN turn % 9 = 4 THEN 'sidechain' WHEN turn % 7 = 3 THEN 'harness' WHEN conv_id % 5 = 2 THEN 'origin-peer' WHEN conv_id % 5 <> 1 AND turn % 4 = 1 THEN 'programmatic' END AS reason FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+SELECT reason, count(*) AS n, coalesce(sum(CASE WHEN reason IS NULL THEN length(text) END), 0)::BIGINT AS chars, count(DISTINCT conv_id) AS files FROM c WHERE reason IS NOT NULL OR text <> '' GROUP BY reason""",
+)
+def transcript_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as a host's transcript lines, texts plain or in blocks, judged line by line: what is kept, and why the rest is not."""
+    c = T.table(spark, sf, "conversations").where("text is not null")
+    i, t = F.col("conv_id"), F.col("turn")
+    record = lambda content: F.to_json(F.struct(
+        F.when(F.col("role") == "user", "user").otherwise("assistant").alias("type"), (t % 9 == 4).alias("isSidechain"), (t % 7 == 3).alias("isMeta"), F.when(i % 5 == 2, F.struct(F.lit("peer").alias("kind"))).when(i % 5 == 1, F.struct(F.lit("human").alias("kind"))).alias("origin"),
+        F.when(t % 4 == 1, "sdk-cli").otherwise("cli").alias("entrypoint"), i.cast("string").alias("sessionId"), F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.struct("role", content.alias("content")).alias("message"),
+    ))
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    lines = c.select(i.cast("string").alias("file"), t.cast("int").alias("line_no"), F.when(t % 2 == 0, record(F.col("text"))).otherwise(record(blocks)).alias("value"))
+    turns = transcripts.host_a(lines)
+    return turns.groupBy(F.col("drop_reason").alias("reason")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("chars"), F.countDistinct("file").alias("files"))
+
+
+@query("iso_stamps", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 * 1000 ELSE epoch_us(ts) END AS micros FROM events WHERE ts IS NOT NULL")
+def iso_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Times written as ISO stamps, in UTC or two hours east of it, to the millisecond or beyond the microsecond, and read back."""
+    ts, e = F.col("ts"), F.col("event_id")
+    shown = lambda x, digits: F.date_format(x, f"yyyy-MM-dd'T'HH:mm:ss.{digits}")
+    east = F.expr("ts + interval 2 hours")
+    stamp = F.when(e % 3 == 0, F.concat(shown(ts, "SSS"), F.lit("Z"))).when(e % 3 == 1, F.concat(shown(east, "SSSSSS"), F.lit("+02:00"))).otherwise(F.concat(shown(ts, "SSSSSS"), F.lit("789Z")))
+    return T.table(spark, sf, "events").where("ts is not null").select("event_id", ts_micros(stamp).alias("micros"))
