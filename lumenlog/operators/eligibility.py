@@ -19,9 +19,25 @@ def point_in_time(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("micros") < F.col("decision")) & other)
 
 
+#: Cases that are sent to every task at once; a larger batch is dealt over blocks of about as many.
+BATCH = 10_000
+
+
+def in_batches(cases: DataFrame, rows: DataFrame, on: Column, most: int = BATCH) -> DataFrame:
+    """rows joined to cases by a condition without equal keys: cases are sent to all tasks where they are counted and few,
+    else rows are repeated once a block of cases and meet one block each."""
+    n = cases.count()
+    if n <= most:
+        return rows.join(F.broadcast(cases), on)
+    blocks = -(-n // most)
+    numbered = cases.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    repeated = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return repeated.join(numbered, "_block").where(on).drop("_block")
+
+
 def visible(cases: DataFrame, statements: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Each case (query_id, decision, exclude_session, ...) with the statements it may see; excluded: (query_id, id)."""
-    both = point_in_time(statements.join(F.broadcast(cases), F.col("micros") < F.col("decision")))
+    both = point_in_time(in_batches(cases, statements, F.col("micros") < F.col("decision")))
     return both if excluded is None else both.join(excluded, ["query_id", "id"], "left_anti")
 
 

@@ -99,7 +99,7 @@ def fill(ranked: DataFrame, pool: DataFrame, n: int = S.TOP_N) -> DataFrame:
     head = ranked.where(F.col("rank") <= n)
     have = head.groupBy("query_id").agg(F.count("*").alias("have"), (F.min("score") - 1).alias("floor"))
     more = pool.join(head.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("k", row_rank(["query_id"], F.asc("emb_rank"))).where(F.col("k") <= n)
-    more = more.join(F.broadcast(have), "query_id", "left").select("query_id", "id", (F.coalesce("floor", F.lit(0.0)) + F.col("cos") * 1e-3).alias("score"), (F.coalesce("have", F.lit(0)) + F.col("k")).cast("int").alias("rank"))
+    more = more.join(have, "query_id", "left").select("query_id", "id", (F.coalesce("floor", F.lit(0.0)) + F.col("cos") * 1e-3).alias("score"), (F.coalesce("have", F.lit(0)) + F.col("k")).cast("int").alias("rank"))
     return head.select("query_id", "id", "score", "rank").unionByName(more.where(F.col("rank") <= n))
 
 

@@ -441,7 +441,7 @@ def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     from lumenlog.plans.evaluate import metrics
 
     fused, _, cases = _fused(spark, sf)
-    gold = T.statements(spark, sf).join(F.broadcast(cases.select("query_id", "situation")), F.expr("contains(text, situation)")).select("query_id", "id")
+    gold = eligibility.in_batches(cases.select("query_id", "situation"), T.statements(spark, sf), F.expr("contains(text, situation)")).select("query_id", "id")
     return metrics(fused.where(F.col("rank") <= S.TOP_N), gold)
 
 

@@ -6,37 +6,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumenlog.sources import loglines
+
 #: Paths that hold credentials are never read.
 FORBIDDEN = r"(^|/)(\.ssh|secrets|auth\.json|\.credentials\.json|\.env)(/|$)|token"
 
 
 def listing(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl*") -> DataFrame:
-    """Files below the roots (path, size, modified), oldest first by `modified`; dot folders, subagents and credential paths are left out."""
+    """Files below the roots (path, size, modified), in no order; dot folders, subagents and credential paths are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(roots).select("path", "length", "modificationTime")
     inner = F.col("path")
     return files.where(~inner.rlike(FORBIDDEN) & ~inner.rlike(r"/\.[^/]+/") & ~inner.contains("/subagents/")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def lines(spark: SparkSession, paths: list[str], resume: DataFrame | None = None) -> DataFrame:
-    """(file, line_no, value) of whole, newline-terminated lines; zstd files by their extension.
+    """(file, line_no, value) of whole, newline-terminated lines that aren't blank; zstd files by their extension.
 
-    A file is read by one task, as its line numbers need, and what follows its last newline is left
-    for a later read. resume (file, lines): only lines after those already read.
+    Files are read in splits by the line source; what follows a last newline is left for a later read. resume (file,
+    lines): only lines after those already read. Where byte offsets are known, loglines.lines skips what was read.
     """
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    kept = F.regexp_replace("value", r"[^\n]*\z", "")
-    split = whole.select("file", F.posexplode(F.split(kept, "\n")).alias("i", "value")).select("file", (F.col("i") + 1).alias("line_no"), "value").where(F.col("value") != "")
+    split = loglines.lines(spark, paths, pattern="*").select("file", "line_no", "value")
     if resume is None:
         return split
     return split.join(resume.select("file", F.col("lines").alias("seen")), "file", "left").where(F.col("line_no") > F.coalesce("seen", F.lit(0))).drop("seen")
 
 
 def first_lines(rows: DataFrame) -> DataFrame:
+    """(file, header) of rows at hand; loglines.first_lines reads no more than the heads."""
     return rows.groupBy("file").agg(F.min_by("value", "line_no").alias("header"))
 
 
 def tail(rows: DataFrame, n: int) -> DataFrame:
-    """The last n lines of each file."""
+    """The last n lines of each file, of rows at hand; loglines.last_lines reads no more than the last bytes."""
     return rows.withColumn("from_end", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("line_no")))).where(F.col("from_end") <= n)
 
 

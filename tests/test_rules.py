@@ -75,3 +75,10 @@ def test_recent_days_alone_are_read(spark, tmp_path):
     got = tables.recent_turns(spark, str(tmp_path / "log"), "ts timestamp, n int", datetime.datetime(2024, 1, 9, 1), 7)
     assert sorted(r["n"] for r in got.collect()) == [3, 8, 9]
     assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString() or "PartitionFilters: [day" in got._jdf.queryExecution().toString()  # older folders are left out
+
+
+def test_batches_of_cases_beyond_the_bound_give_the_same_pairs(spark):
+    cases = spark.range(7).select(F.col("id").alias("query_id"), (F.col("id") * 3).alias("decision"))
+    rows = spark.range(20).select("id", F.col("id").alias("micros"))
+    pairs = [sorted((r["query_id"], r["id"]) for r in eligibility.in_batches(cases, rows, F.col("micros") < F.col("decision"), most).collect()) for most in (100, 3, 1)]
+    assert pairs[0] == [(q, i) for q in range(7) for i in range(20) if i < 3 * q] and pairs[1] == pairs[0] == pairs[2]
