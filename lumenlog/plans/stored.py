@@ -52,8 +52,9 @@ def versioned_backfill(spark: SparkSession, sf: str) -> DataFrame:
     backfill.backfill(*t, lines, rule(F.col("raw"), 20), 1)
     # lines that the first version rejected stay out of this view, as their texts are too short for the second as well
     backfill.backfill(*t, lines, rule(F.trim(F.regexp_replace("raw", r"^\S+\s", "")), 40), 2)
-    held = t[0].read().join(lines.select("src", "host", "raw"), "src")
-    return held.groupBy("host").agg(F.count("*").alias("held"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text") != F.col("raw")).alias("rewritten"))
+    held = t[0].read().select("src", F.length("text").alias("chars"), backfill.mark("text").alias("now"))
+    both = held.join(lines.select("src", "host", backfill.mark("raw").alias("was")), "src")
+    return both.groupBy("host").agg(F.count("*").alias("held"), F.sum("chars").alias("chars"), F.count_if(F.col("now") != F.col("was")).alias("rewritten"))
 
 
 def _stand_in(given: str, asked: list[dict]) -> list[float | None]:

@@ -8,7 +8,7 @@ small, and of the statements only the buckets that hold a rewritten, retired or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.sources.commits import KeyedTable
@@ -22,23 +22,30 @@ RETIRED_SCHEMA = "src string, id string, text string, reason string, version int
 
 def outdated(lines: DataFrame, stamps: KeyedTable, version: int) -> DataFrame:
     """Lines (src, ...) that this version hasn't judged: new ones, and those stamped with another version."""
-    return lines.join(stamps.read().where(F.col("version") == version).select("src"), "src", "left_anti")
+    judged = stamps.read().where(F.col("version") == version).select("src")
+    return lines if judged.isEmpty() else lines.join(judged, "src", "left_anti")  # a new version judges all: no text is sent
+
+
+def mark(text: str) -> Column:
+    """32 bytes by which texts are compared, so that comparisons don't send texts."""
+    return F.unhex(F.sha2(F.col(text), 256))
 
 
 def decide(held: DataFrame, judged: DataFrame) -> DataFrame:
-    """(src, old_id, new_id, action, reason, new_text) for each judged line (src, id, text, reason; no text: rejected).
+    """(src, old_id, new_id, action, reason) for each judged line (src, id, text, reason; no text: rejected).
 
     A rewritten statement keeps its id. A rewrite or an addition to an id that another line's statement holds, or that a
     smaller src of the pass makes as well, is that turn again: the held one retires with that reason, the new one is dropped.
     """
-    actions = rejudge_actions(held.join(judged.select("src").distinct(), "src", "left_semi"), judged).join(judged.select("src", F.col("text").alias("new_text")), "src", "left")
+    held, judged = held.select("src", "id", mark("text").alias("text")), judged.select("src", "id", mark("text").alias("text"), "reason")
+    actions = rejudge_actions(held.join(judged.select("src").distinct(), "src", "left_semi"), judged)
     elsewhere = held.select(F.col("src").alias("other"), F.col("id").alias("new_id")).groupBy("new_id").agg(F.collect_set("other").alias("others"))
     made = actions.where(F.col("action").isin("add", "rewrite")).groupBy("new_id").agg(F.min("src").alias("first"))
     j = actions.join(elsewhere, "new_id", "left").join(made, "new_id", "left")
     others = F.size(F.filter(F.coalesce("others", F.array().cast("array<string>")), lambda o: o != F.col("src"))) > 0
     again = F.col("action").isin("add", "rewrite") & (others | (F.col("first") != F.col("src")))
     action = F.when(again & (F.col("action") == "rewrite"), "retire").when(again, "drop").otherwise(F.col("action"))
-    return j.select("src", "old_id", "new_id", action.alias("action"), F.when(again, F.lit("turn-held-by-another-statement")).otherwise(F.col("reason")).alias("reason"), "new_text")
+    return j.select("src", "old_id", "new_id", action.alias("action"), F.when(again, F.lit("turn-held-by-another-statement")).otherwise(F.col("reason")).alias("reason"))
 
 
 def backfill(statements: KeyedTable, stamps: KeyedTable, retired: KeyedTable, lines: DataFrame, judge, version: int) -> dict[str, int]:
@@ -51,8 +58,9 @@ def backfill(statements: KeyedTable, stamps: KeyedTable, retired: KeyedTable, li
     held = statements.read()
     done = staged(decide(held, todo), "actions")
     counts = {r["action"]: r["count"] for r in done.groupBy("action").count().collect()}
-    gone = done.where("action = 'retire'")
-    new = done.where("action in ('add', 'rewrite')").select("src", F.coalesce("old_id", "new_id").alias("id"), F.col("new_text").alias("text"), F.lit(version).alias("version"))
+    gone = staged(done.where("action = 'retire'").select("src", "reason"), "gone")  # its size is known, and mostly small: held texts stay where they are
+    new = done.where("action in ('add', 'rewrite')").select("src", F.coalesce("old_id", "new_id").alias("id"))
+    new = new.join(todo.select("src", "text"), "src").select("src", "id", "text", F.lit(version).alias("version"))
     if counts.get("retire"):
         retired.insert_or_ignore(gone.join(held.select("src", "id", "text"), "src").select("src", "id", "text", "reason", F.lit(version).alias("version")))
     if {"add", "rewrite", "retire"} & set(counts):

@@ -14,6 +14,7 @@ link. Object stores without such an operation can't hold these tables.
 from __future__ import annotations
 
 import contextlib
+import functools
 import json
 import os
 import uuid
@@ -22,6 +23,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.sources.staging import staged
+
 BUCKETS, RETRIES = 16, 20
 
 
@@ -114,11 +117,12 @@ class KeyedTable:
     def _bucket(self, buckets: int):
         return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, buckets: int) -> dict[str, list[str]]:
-        """rows as files of a new write: bucket -> its folders."""
+    def _write(self, rows: DataFrame, buckets: int, where_they_lie: bool = False) -> dict[str, list[str]]:
+        """rows as files of a new write: bucket -> its folders. Where they lie: each task writes to all buckets, and no row is sent."""
         write = f"data/{uuid.uuid4().hex}"
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
-        rows.select(*names).withColumn("bucket", self._bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{write}")
+        out = rows.select(*names).withColumn("bucket", self._bucket(buckets))
+        (out if where_they_lie else out.repartition("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{write}")
         parts = self._fs.listStatus(self._path(f"{self.path}/{write}"))
         return {n.split("=")[1]: [f"{write}/{n}"] for n in (s.getPath().getName() for s in parts) if n.startswith("bucket=")}
 
@@ -129,6 +133,19 @@ class KeyedTable:
             return rows.distinct()
         return rows.groupBy(*self.keys).agg(F.min(F.struct(*rest)).alias("_least")).select(*self.keys, *[F.col(f"_least.{c}").alias(c) for c in rest])
 
+    def _without(self, folders: list[str], keys: DataFrame) -> DataFrame:
+        """The rows of folders whose key isn't in keys (distinct, staged).
+
+        The smaller set of keys, those that go or those that stay, is joined to the rows: its size is known, so that rows
+        are not sent where it can be broadcast.
+        """
+        held = self._of(folders)
+        if not folders or 2 * keys.count() <= held.count():
+            return held.join(keys, self.keys, "left_anti")
+        stay = staged(held.select(*self.keys).distinct().join(keys, self.keys, "left_anti"), "stay").toDF(*[f"_stay_{k}" for k in self.keys])
+        same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_stay_{k}")) for k in self.keys])
+        return held.join(stay, same, "left_semi")
+
     def _retried(self, attempt) -> int:
         for _ in range(RETRIES):
             with contextlib.suppress(Conflict):
@@ -171,12 +188,13 @@ class KeyedTable:
         Buckets without any of these keys keep their files.
         """
         changed: list[int] = []
+        keys = rows.select(*self.keys) if retired is None else rows.select(*self.keys).union(retired.select(*self.keys))
+        keys = staged(keys.distinct(), "keys")
 
         def attempt(base: Snapshot) -> int:
-            keys = rows.select(*self.keys) if retired is None else rows.select(*self.keys).union(retired.select(*self.keys))
             touched = sorted(r[0] for r in keys.select(self._bucket(base.buckets)).distinct().collect())  # at most the number of buckets
-            rest = self._of(base.folders(touched)).join(keys.distinct(), self.keys, "left_anti")
-            files = self._write(rest.unionByName(self._firsts(rows)), base.buckets) if touched else {}
+            rest = self._without(base.folders(touched), keys)
+            files = self._write(rest.unionByName(self._firsts(rows)), base.buckets, where_they_lie=True) if touched else {}
             live = {b: f for b, f in base.live.items() if int(b) not in touched} | files
             changed[:] = touched
             return self._put(base, live, base.properties | (properties or {})).version

@@ -56,3 +56,32 @@ def test_new_lines_alone_are_judged(spark, tmp_path):
         return rule("!", 1)(x)
 
     assert backfill(*t, lines, judge, 1) == {"add": 1} and seen == ["b"]
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_are_sent_once_a_version(spark, tmp_path):
+    text = F.concat_ws("", *[F.sha2(F.concat_ws(":", "id", F.lit(i)), 512) for i in range(16)])  # 2,048 characters that compress to half
+    lines = spark.range(3000).select(F.concat(F.lit("f:L"), "id").alias("src"), text.alias("raw"))
+    lines.write.parquet(str(tmp_path / "lines"))
+    lines, t, began = spark.read.parquet(str(tmp_path / "lines")), tables(spark, tmp_path), shuffled(spark)
+    assert backfill(*t, lines, rule("#", 3), 1) == {"add": 3000}
+    assert backfill(*t, lines, rule("^.", 3), 2) == {"rewrite": 3000}
+    assert t[0].read().where(F.length("text") == 2047).count() == 3000
+    assert shuffled(spark) - began < 3 * 3000 * 2048  # two versions, and keys and digests
+
+
+def test_rows_that_stay_are_the_same_by_either_set_of_keys(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), ["a", "b"], "a long, b string, v int", buckets=4)
+    rows = [(i, None if i % 4 == 0 else f"k{i}", i) for i in range(40)] + [(1, "k1", 100)]  # a key held twice, and null ones
+    t.append(spark.createDataFrame(rows, t.schema))
+    for gone in ([(2, "k2"), (4, None)], [(i, f"k{i}") for i in range(2, 40)]):
+        keys = spark.createDataFrame(gone, "a long, b string")
+        got = sorted((r["a"], str(r["b"]), r["v"]) for r in t._without(t.snapshot().folders(), keys).collect())
+        assert got == sorted((a, str(b), v) for a, b, v in rows if b is None or (a, b) not in gone)
