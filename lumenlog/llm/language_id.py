@@ -31,8 +31,9 @@ from lumenlog.llm.sampling import by_group, fold
 
 #: Texts of a language that training is to read, and texts of all languages at which each gets fewer.
 PER_LANGUAGE, TEXTS = 250, 16_000
-#: Buckets of hashed features; distinct words whose weights a task remembers; bytes of text it holds at once.
-BUCKETS, MEMO, SLICE = 1 << 15, 200_000, 1 << 20
+#: Buckets of hashed features; distinct words whose weights a task remembers; bytes of text it holds at once
+#: (a slice takes as many steps as its longest text has words, so small ones cost more: 610 CPU seconds a GB of text at 1 MB, 484 at 2).
+BUCKETS, MEMO, SLICE = 1 << 15, 200_000, 1 << 21
 _STRIP = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»„“”‚‘’…¿¡–—"
 
 

@@ -23,6 +23,21 @@ def test_language_held_out(spark):
     assert len(out) > 100 and (out.lang == out.lang_pred).mean() > 0.97 and r.score.between(0, 1).all()
 
 
+def test_texts_of_uneven_length_share_their_steps(monkeypatch):
+    """A slice takes as many steps as its longest text has words: a few long texts are not one slice each."""
+    model, steps, real = language_id.Model(["a", "b"]).fit(["uno due tre", "one two three"], ["a", "b"], rounds=1), [], language_id.sums
+
+    def sums(first, *rest):
+        steps.append(int(np.diff(first).max()))
+        return real(first, *rest)
+
+    monkeypatch.setattr(language_id, "sums", sums)
+    texts = [f"uno due {'tre ' * 40_000}", *["one two three"] * 50] * 9  # 1.4 MB, nine long ones
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    got = list(language_id._predict(model, lambda b: b.column("text"))(iter([batch])))
+    assert sum(b.num_rows for b in got) == len(texts) and sum(steps) == 40_002
+
+
 def test_language_edges(spark, docs, empty):
     model = language_id.train(docs)
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
