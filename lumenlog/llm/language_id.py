@@ -100,7 +100,9 @@ def sums(first: np.ndarray, emission: np.ndarray, trans: np.ndarray, start: np.n
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     active = np.searchsorted(-length[order], -np.arange(1, (length.max() if len(length) else 0) + 1), "right")
-    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    e = emission - emission.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
+    del emission  # a caller that keeps no name for it gives it up here
     t = np.exp(trans - trans.max())
     alpha = np.empty_like(e)
     head = first[:-1][order]
@@ -124,7 +126,8 @@ def sums(first: np.ndarray, emission: np.ndarray, trans: np.ndarray, start: np.n
     if len(active):
         at = head[: active[0]]
         alpha[at] *= b[: active[0]]
-    return alpha / alpha.sum(axis=1, keepdims=True), pairs
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    return alpha, pairs
 
 
 def gradient(first: np.ndarray, emission: np.ndarray, gold: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,29 +203,30 @@ def _predict(model: Model, of):
         for b in batches:
             b = b.append_column("\0text", of(b))
             for x in slices(b, "\0text", SLICE):
-                split = [tokens(t or "") for t in x.column("\0text").to_pylist()]
-                used = set().union(*split)
-                new = list(used - memo.keys())
-                if len(memo) + len(new) > MEMO:
-                    memo, table, new = {}, table[:0], list(used)
-                if new:
-                    bare = [_bare(w) for w in new]
-                    at = [i for i, w in enumerate(bare) if w]
-                    rows = np.zeros((len(at), table.shape[1]), np.float32)
-                    for lo in range(0, len(at), 4096):
-                        rows[lo : lo + 4096] = emissions(model.w, *word_features([bare[i] for i in at[lo : lo + 4096]]))
-                    memo.update((w, -1) for w, y in zip(new, bare, strict=True) if not y)
-                    memo.update((new[i], len(table) + k) for k, i in enumerate(at))
+                if len(memo) > MEMO:
+                    memo, table = {}, table[:0]
+                index, bare = [], []
+                for t in x.column("\0text"):  # a text's words go as soon as they are numbered
+                    words = tokens(t.as_py() or "")
+                    for w in set(words).difference(memo):
+                        if y := _bare(w):
+                            bare.append(y)
+                        memo[w] = len(table) + len(bare) - 1 if y else -1
+                    i = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+                    index.append(i[i >= 0])
+                if bare:
+                    rows = np.zeros((len(bare), table.shape[1]), np.float32)
+                    for lo in range(0, len(bare), 4096):
+                        rows[lo : lo + 4096] = emissions(model.w, *word_features(bare[lo : lo + 4096]))
                     table = np.concatenate([table, rows])
-                get = memo.__getitem__
-                index = [np.fromiter(map(get, t), np.int64, len(t)) for t in split]
-                del split
-                index = [i[i >= 0] for i in index]
                 first = np.cumsum([0, *map(len, index)])
-                p = sums(first, table[np.concatenate(index)], model.trans, model.start)[0] if first[-1] else np.zeros((0, table.shape[1]))
-                c = np.zeros((len(p) + 1, table.shape[1]))
-                np.cumsum(p, axis=0, out=c[1:])
-                total = c[first[1:]] - c[first[:-1]]
+                index = np.concatenate(index)
+                p = sums(first, table[index], model.trans, model.start)[0] if first[-1] else np.zeros((0, table.shape[1]), table.dtype)
+                total = np.empty((len(first) - 1, table.shape[1]))
+                c = np.zeros(len(p) + 1)
+                for k in range(table.shape[1]):
+                    np.cumsum(p[:, k], dtype=float, out=c[1:])
+                    total[:, k] = c[first[1:]] - c[first[:-1]]
                 n = np.diff(first)
                 best = total.argmax(axis=1)
                 lang = [model.languages[k] if m else "und" for k, m in zip(best.tolist(), n.tolist(), strict=True)]

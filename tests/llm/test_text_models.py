@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy on the tables, and their parts against plain versions."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,22 @@ def test_texts_of_uneven_length_share_their_steps(monkeypatch):
     assert sum(b.num_rows for b in got) == len(texts) and sum(steps) == 40_002
 
 
+def test_a_slice_is_held_as_numbers():
+    """A text's words go once they are numbered, and no array of all words and languages is held more often than it takes."""
+    model = language_id.Model(["a", "b", "c", "d"]).fit(["uno due tre", "one two three", "eins zwei drei", "un deux trois"], ["a", "b", "c", "d"], rounds=1)
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i:04}" for i in range(2000)])
+    texts = [" ".join(rng.choice(vocabulary, 600)) for _ in range(500)]  # 1.8 MB, 300,000 words
+    run, batch = language_id._predict(model, lambda b: b.column("text")), pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    try:
+        got = list(run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 500 and peak < 18 << 20
+
+
 def test_language_edges(spark, docs, empty):
     model = language_id.train(docs)
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
