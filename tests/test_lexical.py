@@ -24,3 +24,11 @@ def test_postings_are_counted_within_their_row(spark, monkeypatch):
     assert {r["id"]: r["len"] for r in lengths.collect()} == {i: len(t) for i, t in tokens.items()}
     # a task's memory doesn't hold the terms of all its texts
     assert "Aggregate" not in plans["postings"] and "Exchange" not in plans["postings"]
+
+
+def test_postings_are_not_sent_to_every_task(spark):
+    rows = spark.createDataFrame([(i, f"red fox {i} dog", i * 10, i % 2) for i in range(20)], "id long, text string, micros long, session_id long")
+    cases = spark.createDataFrame([(1, "red dog", 1000, 0), (2, "fox", 50, None)], "query_id long, situation string, decision long, exclude_session long")
+    found = lexical.hits(lexical.index(rows)[0], cases)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], r["term"], r["id"]) for r in found.collect()) == sorted([(1, w, i) for w in ("red", "dog") for i in range(1, 20, 2)] + [(2, "fox", i) for i in range(5)])
