@@ -32,3 +32,17 @@ def test_postings_are_not_sent_to_every_task(spark):
     found = lexical.hits(lexical.index(rows)[0], cases)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["query_id"], r["term"], r["id"]) for r in found.collect()) == sorted([(1, w, i) for w in ("red", "dog") for i in range(1, 20, 2)] + [(2, "fox", i) for i in range(5)])
+
+
+def test_postings_are_not_sorted_to_meet_a_few_terms(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"red fox {i} dog", i * 10, i % 2) for i in range(20)], "id long, text string, micros long, session_id long")
+    cases = spark.createDataFrame([(1, "red dog", 1000, 0), (2, "fox", 50, None)], "query_id long, situation string, decision long, exclude_session long")
+    postings, _ = lexical.index(rows)
+    found = lexical.hits(postings, cases)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the cases' terms are the side that a task holds: its memory doesn't grow with the postings
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "Sort" not in plan
+    monkeypatch.setattr(lexical, "HELD_TERMS", 2)
+    sorted_ = lexical.hits(postings, cases)
+    assert "SortMergeJoin" in sorted_._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sorted_.collect())) == sorted(map(tuple, found.collect())) != []
