@@ -2,10 +2,13 @@
 
 from collections import Counter
 
+import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import DOC_CLIP, clip, tokenize
 from lumenlog.operators import lexical
+from lumenlog.plans import catalog
 
 
 def test_postings_are_counted_within_their_row(spark, monkeypatch):
@@ -46,3 +49,30 @@ def test_postings_are_not_sorted_to_meet_a_few_terms(spark, monkeypatch):
     sorted_ = lexical.hits(postings, cases)
     assert "SortMergeJoin" in sorted_._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, sorted_.collect())) == sorted(map(tuple, found.collect())) != []
+
+
+#: Statements whose terms lie at the start, around and far beyond the clip, some repeated there.
+LONG = ["quokka wombat", "filler " * 900 + "quokka", "numbat " + "pad " * 995 + "wombat", "zebra " * 20000 + "numbat numbat quokka", " " * 5000 + "wombat", None, "pad"]
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """A folder of the three tables that an index is made of, and a connection that sees the same ones."""
+    import duckdb
+
+    sf, con = tmp_path_factory.mktemp("long"), duckdb.connect()
+    documents = spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(LONG)], "doc_id long, text string, lang string, source string")
+    embeddings = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(len(LONG))], "vec_id long, embedding array<float>")
+    benchmark = spark.createDataFrame([(0, "quokka numbat"), (1, "wombat, quokka zebra")], "item_id long, text string")
+    for name, rows in {"documents": documents, "embeddings": embeddings, "benchmark": benchmark}.items():
+        rows.write.parquet(f"{sf}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet/*.parquet'")
+    return str(sf), con
+
+
+def test_document_frequency_counts_whole_texts(spark, long_texts):
+    sf, con = long_texts
+    found = catalog.queries()["bm25_docfreq"](spark, sf)
+    assert same(found, con, catalog.oracle_sql()["bm25_docfreq"]) == 5
+    # item 0 doesn't see session 0, which is document 0
+    assert {(r["query_id"], r["term"]): r["df"] for r in found.collect()} == {(0, "quokka"): 2, (0, "numbat"): 2, (1, "quokka"): 3, (1, "wombat"): 3, (1, "zebra"): 1}
