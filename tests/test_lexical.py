@@ -1,5 +1,6 @@
 """The inverted index: counts of each text's terms, made without grouping what a task holds."""
 
+import math
 from collections import Counter
 
 import pytest
@@ -76,3 +77,19 @@ def test_document_frequency_counts_whole_texts(spark, long_texts):
     assert same(found, con, catalog.oracle_sql()["bm25_docfreq"]) == 5
     # item 0 doesn't see session 0, which is document 0
     assert {(r["query_id"], r["term"]): r["df"] for r in found.collect()} == {(0, "quokka"): 2, (0, "numbat"): 2, (1, "quokka"): 3, (1, "wombat"): 3, (1, "zebra"): 1}
+
+
+def test_bm25_ranks_by_whole_texts(spark, long_texts):
+    sf, con = long_texts
+    found = catalog.queries()["bm25_topk"](spark, sf)
+    assert same(found, con, catalog.oracle_sql()["bm25_topk"]) == 13
+    # item 0 sees documents 1 to 6, item 1 all but session 7, which there is none of
+    docs = {i: Counter(w for w in (t or "").replace(",", " ").split()) for i, t in enumerate(LONG)}
+    for item, asked, seen in ((0, ("quokka", "numbat"), range(1, 7)), (1, ("wombat", "quokka", "zebra"), range(7))):
+        avg = sum(docs[i].total() for i in seen) / len(seen)
+        df = {w: sum(w in docs[i] for i in seen) for w in asked}
+        score = {i: sum(math.log(1 + (len(seen) - df[w] + 0.5) / (df[w] + 0.5)) * docs[i][w] * 2.2 / (docs[i][w] + 1.2 * (0.25 + 0.75 * docs[i].total() / avg)) for w in asked) for i in seen}
+        best = sorted(seen, key=lambda i: (-score[i], i))
+        rows = sorted((r["bm25_rank"], r["id"], r["bm25"]) for r in found.where(f"query_id = {item}").collect())
+        assert [r[:2] for r in rows] == [(k + 1, i) for k, i in enumerate(best)]
+        assert [r[2] for r in rows] == [pytest.approx(score[i], abs=1e-6) for i in best]
